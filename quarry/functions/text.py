@@ -6,9 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters Python counts as white space, for a Java regular expression class.
-WHITESPACE = (
-    r"\t\n\x0B\f\r\x1C-\x20\x85\xA0  -     　"
-)
+WHITESPACE = r"\t\n\x0B\f\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def _column(c: Column | str) -> Column:

@@ -43,6 +43,6 @@ def judgement_counts(labels: DataFrame) -> DataFrame:
     )
 
 
-def label_map(labels: DataFrame) -> dict[tuple[str, int], str]:
-    """A small gold set as a dictionary, for display; joins use the table itself."""
-    return {(row.corpus_id, row.doc_id): row.label for row in labels.toLocalIterator()}
+def label_map(labels: DataFrame) -> DataFrame:
+    """One label per query and document; where a gold set repeats an id, YES beats NO."""
+    return labels.groupBy("corpus_id", "doc_id").agg(F.max("label").alias("label"))
