@@ -27,7 +27,7 @@ from quarry.operators.reports import (  # noqa: E402
     norm_report,
 )
 from quarry.plans import build, goldset, search  # noqa: E402
-from quarry.session import fresh_path  # noqa: E402
+from quarry.session import fresh_path, spread  # noqa: E402
 from quarry.sources.goldset import judged_reviews, judgement_counts, judgements  # noqa: E402
 from quarry.sources.reviews import (  # noqa: E402
     documents,
@@ -62,10 +62,13 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _as_reviews(table: DataFrame) -> DataFrame:
     """The first line of a document is its summary, the rest its text; empty parts are NULL."""
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
-    rest = F.expr(r"substring(text, length(split_part(text, '\n', 1)) + 2)")
-    return table.select(
-        "doc_id", F.nullif(first, F.lit("")).alias("summary"), F.nullif(rest, F.lit("")).alias("text")
+    lines = table.select("doc_id", "text", F.instr("text", "\n").alias("end"))
+    summary = F.when(F.col("end") == 0, F.col("text")).otherwise(F.expr("left(text, end - 1)"))
+    rest = F.when(F.col("end") > 0, F.expr("substring(text, end + 1)"))
+    return lines.select(
+        "doc_id",
+        F.nullif(summary, F.lit("")).alias("summary"),
+        F.nullif(rest, F.lit("")).alias("text"),
     )
 
 
@@ -74,7 +77,7 @@ def _reviews(spark, sf):
 
 
 def _docs(spark, sf):
-    return documents(_reviews(spark, sf))
+    return documents(_as_reviews(spread(_table(spark, sf, "documents"), "doc_id")))
 
 
 def _queries(spark, sf):
@@ -227,7 +230,7 @@ def index_health(spark, sf):
 
 def bm25_scores(spark, sf):
     scores = document_scores(_index(spark, sf).lexicon, with_corpus(_queries(spark, sf)))
-    return scores.select("query_id", "doc_id", rounded("bm25", 6).alias("bm25"))
+    return scores.select("query_id", "doc_id", rounded("bm25", 4).alias("bm25"))
 
 
 def bm25_normalised(spark, sf):

@@ -286,7 +286,7 @@ FROM (SELECT doc_id, {words("combined_text")} AS w FROM docs)""",
         QUERIES,
         LEXICON,
         BM25,
-        "SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM bm25",
+        "SELECT query_id, doc_id, round(bm25, 4) AS bm25 FROM bm25",
     ),
     "bm25_normalised": query(
         REVIEWS,

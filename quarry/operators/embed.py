@@ -75,7 +75,8 @@ class _RowWise:
                 ]
                 yield pd.Series([row for part in parts for row in part], dtype=object)
 
-        return df.withColumn(out_col, run(F.col(text_col)))
+        # Declared nondeterministic so that no optimizer rule repeats the call, say for a filter.
+        return df.withColumn(out_col, run.asNondeterministic()(F.col(text_col)))
 
     def embed_checked(self, df: DataFrame, text_col: str, out_col: str, error_col: str) -> DataFrame:
         """As ``embed``, but a row that fails gets its error and no vector.
@@ -104,7 +105,7 @@ class _RowWise:
                 yield pd.DataFrame(pairs, columns=["vector", "error"], dtype=object)
 
         # One call per row feeds both columns.
-        checked = df.withColumn("_checked", run(F.col(text_col)))
+        checked = df.withColumn("_checked", run.asNondeterministic()(F.col(text_col)))
         return checked.select(
             *df.columns,
             F.col("_checked.vector").alias(out_col),
@@ -159,7 +160,8 @@ class HashedWordsSql:
         digest = F.substring(F.md5(F.col("word").cast("binary")), 1, 8)
         bucket = F.conv(digest, 16, 10).cast("long") % self.dimension
         return (
-            df.select(self.key, F.explode(words).alias("word"))
+            df.select(self.key, F.explode_outer(words).alias("word"))
+            .filter(F.col("word").isNotNull())
             .groupBy(self.key, bucket.cast("int").alias("bucket"))
             .count()
         )

@@ -45,8 +45,11 @@ def postings(docs: DataFrame, partitions: int | None = None) -> DataFrame:
             "corpus_id",
             "doc_id",
             F.size("words").cast("long").alias("dl"),
-            F.explode("words").alias("term"),
+            # An inner explode would make the optimizer filter on the size of the array first, and
+            # so split every text twice.
+            F.explode_outer("words").alias("term"),
         )
+        .filter(F.col("term").isNotNull())
         .groupBy("corpus_id", "doc_id", "dl", "term")
         .agg(F.count("*").alias("tf"))
         .select("corpus_id", "doc_id", "term", "tf", "dl")

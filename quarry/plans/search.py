@@ -30,7 +30,7 @@ def prepared(queries: DataFrame, embedder: Embedder | None = None) -> DataFrame:
 
 def check_queries(queries: DataFrame) -> None:
     """Raise if a query is blank."""
-    blank = queries.filter(F.col("query_text").isNull() | ~not_blank("query_text"))
+    blank = queries.filter(~not_blank("query_text"))
     row = blank.select("query_id").first()
     if row is not None:
         raise ValueError(f"query {row.query_id!r} is blank")

@@ -52,3 +52,14 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is small, else unchanged for a shuffle join."""
     return F.broadcast(df) if fits_broadcast(df, rows) else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share out a table that lies in fewer files than the session has cores.
+
+    A large table has more files than cores and is left alone, as are streams.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from quarry.config import BuildSettings, jdbc_options
 from quarry.functions.text import combined_text, not_blank
+from quarry.session import spread
 
 REVIEWS_SCHEMA = T.StructType(
     [
@@ -29,7 +30,7 @@ def _renamed(reviews: DataFrame) -> DataFrame:
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    return _renamed(spark.read.schema(REVIEWS_SCHEMA).parquet(path))
+    return _renamed(spread(spark.read.schema(REVIEWS_SCHEMA).parquet(path), "Id"))
 
 
 def jdbc_scan_options(
@@ -59,12 +60,13 @@ def documents(
     reviews: DataFrame, sep: str = "\n\n", mode: str = "clean", keep_blank: bool = False
 ) -> DataFrame:
     """``doc_id`` and ``combined_text`` of each review that has any text."""
+    if not keep_blank and mode == "clean":
+        # On the parts, so that the filter moves down to the scan without the concatenation.
+        reviews = reviews.filter(not_blank("summary") | not_blank("text"))
     docs = reviews.select("doc_id", combined_text("summary", "text", sep, mode).alias("combined_text"))
-    if keep_blank:
-        return docs
-    if mode == "compat":
-        return docs.filter(F.col("combined_text") != "")
-    return docs.filter(not_blank("combined_text"))
+    if not keep_blank and mode == "compat":
+        docs = docs.filter(F.col("combined_text") != "")
+    return docs
 
 
 def document_by_id(reviews: DataFrame, doc_id: int) -> DataFrame:
