@@ -245,7 +245,7 @@ def bm25_topk(spark, sf):
 
 
 def hybrid_vs_semantic(spark, sf):
-    both = _search(spark, sf, use_bm25=False).unionByName(_search(spark, sf))
+    both = search.search_both(_index(spark, sf), _queries(spark, sf), EMBEDDER)
     return _hits(both, "search_type")
 
 
@@ -300,7 +300,7 @@ def hits_per_query_report(spark, sf):
 
 
 def dedupe_last_wins(spark, sf):
-    both = _search(spark, sf, use_bm25=False).unionByName(_search(spark, sf))
+    both = search.search_both(_index(spark, sf), _queries(spark, sf), EMBEDDER)
     return last_entry_wins(both).select("query_id", "doc_id", rounded("score", 6).alias("score"))
 
 

@@ -21,10 +21,6 @@ def judged(hits: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _per_cutoff(df: DataFrame, cutoffs: Sequence[int]) -> DataFrame:
-    return df.withColumn("k", F.explode(F.lit([int(k) for k in cutoffs])))
-
-
 def precision_at_k(
     hits: DataFrame,
     labels: DataFrame,
@@ -32,19 +28,19 @@ def precision_at_k(
     cutoffs: Sequence[int],
     search_types: Sequence[str] = SEARCH_TYPES,
 ) -> DataFrame:
-    """Relevant hits and precision for each query, search type and ``k``.
+    """Relevant hits and precision for each query, search type and cutoff ``k``.
 
-    The divisor is ``k``, however few hits there are; a query without hits has precision 0.
+    ``hits`` say by ``k`` which search they belong to. The divisor is ``k``, however few hits there
+    are; a query without hits has precision 0.
     """
     key = ["corpus_id", "query_id", "search_type", "k"]
-    report = _per_cutoff(
-        queries.select("corpus_id", "query_id").withColumn(
-            "search_type", F.explode(F.lit(list(search_types)))
-        ),
-        cutoffs,
+    report = (
+        queries.select("corpus_id", "query_id")
+        .withColumn("search_type", F.explode(F.lit(list(search_types))))
+        .withColumn("k", F.explode(F.lit([int(k) for k in cutoffs])))
     )
     found = (
-        _per_cutoff(judged(hits, labels), cutoffs)
+        judged(hits, labels)
         .filter(F.col("rank") <= F.col("k"))
         .groupBy(*key)
         .agg(F.count_if("relevant").alias("relevant_in_top_k"))

@@ -15,50 +15,58 @@ PAIR = ["corpus_id", "query_id", "doc_id"]
 
 
 def hybrid_candidates(
-    index: DataFrame, lex: Lexicon, queries: DataFrame, settings: SearchSettings
+    index: DataFrame, lex: Lexicon, queries: DataFrame, k: int
 ) -> DataFrame:
-    """Candidates with ``semantic``, ``bm25`` and ``best``, the highest BM25 score of the query over
-    its whole corpus.
+    """The ``k`` best semantic hits of each query with ``semantic``, ``place`` (their rank), ``bm25``
+    and ``best``, the highest BM25 score of the query over its whole corpus.
 
     BM25 is summed over the corpus once. That pass keeps the score of a candidate by its id and lets
     all other documents of a query share one NULL group, of which only the maximum survives.
     """
     candidates = materialise(
-        nearest(index, queries, settings.top_k * settings.oversample).select(
-            *PAIR, F.col("score").alias("semantic")
+        nearest(index, queries, k).select(
+            *PAIR, F.col("score").alias("semantic"), F.col("rank").alias("place")
         ),
         "candidates",
     )
     marked = broadcast_if_small(candidates.select(*PAIR, F.lit(True).alias("candidate")))
-    scores = document_scores(lex, queries)
     kept = (
-        scores.join(marked, PAIR, "left")
+        document_scores(lex, queries)
+        .join(marked, PAIR, "left")
         .withColumn("doc_id", F.when(F.col("candidate"), F.col("doc_id")))
         .groupBy(*PAIR)
         .agg(F.max("bm25").alias("bm25"))
     )
-    both = candidates.withColumn("bm25", F.lit(None).cast("double")).unionByName(
-        kept.withColumn("semantic", F.lit(None).cast("double"))
+    # From here on a query has at most one row more than it has candidates.
+    merged = (
+        candidates.unionByName(kept, allowMissingColumns=True)
+        .groupBy(*PAIR)
+        .agg(*[F.max(name).alias(name) for name in ("semantic", "place", "bm25")])
     )
-    merged = both.groupBy(*PAIR).agg(
-        F.max("semantic").alias("semantic"), F.max("bm25").alias("bm25")
+    hit = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "semantic", "place", "bm25"))
+    found = merged.groupBy("corpus_id", "query_id").agg(
+        F.max("bm25").alias("best"), F.collect_list(hit).alias("hits")
     )
-    # At most one row more than there are candidates, per query.
-    best = merged.groupBy("corpus_id", "query_id").agg(
-        F.max("bm25").alias("best"),
-        F.collect_list(
-            F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "semantic", "bm25"))
-        ).alias("found"),
+    return found.select("corpus_id", "query_id", "best", F.inline("hits")).withColumn(
+        "bm25", F.coalesce("bm25", F.lit(0.0))
     )
-    return best.select(
-        "corpus_id", "query_id", F.col("best"), F.explode("found").alias("hit")
-    ).select(
-        *PAIR[:2],
-        F.col("hit.doc_id").alias("doc_id"),
-        F.col("hit.semantic").alias("semantic"),
-        F.coalesce("hit.bm25", F.lit(0.0)).alias("bm25"),
-        "best",
+
+
+def semantic_hits(found: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` candidates as they were found."""
+    return found.filter(F.col("place") <= k).select(
+        *PAIR, F.col("semantic").alias("score"), F.col("place").alias("rank")
+    )
+
+
+def hybrid_hits(found: DataFrame, settings: SearchSettings) -> DataFrame:
+    """The first candidates, as many as the settings ask for, ranked by the blended score."""
+    considered = found.filter(F.col("place") <= settings.top_k * settings.oversample)
+    lexical = max_normalised("bm25", "best")
+    scored = considered.select(
+        *PAIR, rounded(blend("semantic", lexical, settings.bm25_weight)).alias("score")
     )
+    return top_k(scored, settings.top_k)
 
 
 def hybrid(
@@ -68,9 +76,5 @@ def hybrid(
 
     A document outside the semantic candidates is never found, however good its BM25 score.
     """
-    found = hybrid_candidates(index, lex, queries, settings)
-    lexical = max_normalised("bm25", "best")
-    scored = found.select(
-        *PAIR, rounded(blend("semantic", lexical, settings.bm25_weight)).alias("score")
-    )
-    return top_k(scored, settings.top_k)
+    depth = settings.top_k * settings.oversample
+    return hybrid_hits(hybrid_candidates(index, lex, queries, depth), settings)

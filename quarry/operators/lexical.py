@@ -123,22 +123,19 @@ def document_scores(
     """``(corpus_id, query_id, doc_id, bm25)`` of the documents that share a word with the query."""
     key = ["corpus_id", "term"]
     asked = query_terms(queries)
+    known = lex.terms.join(F.broadcast(lex.corpora), "corpus_id").select(*key, "idf", "avgdl")
     if fits_broadcast(asked, broadcast_rows):
         distinct = F.broadcast(asked.select(*key).distinct())
-        weights = lex.terms.join(distinct, key, "left_semi")
-        weighted = asked.join(F.broadcast(weights.select(*key, "idf")), key)
-        weighted = weighted.join(F.broadcast(lex.corpora), "corpus_id")
+        weights = known.join(distinct, key, "left_semi")
+        weighted = asked.join(F.broadcast(weights), key)
         matching = lex.postings
         if not lex.bucketed:
             # Only postings of the words asked for are moved, and once for all queries.
             matching = matching.join(distinct, key, "left_semi").repartition("doc_id")
         matched = matching.join(F.broadcast(weighted), key)
     else:
-        weights = lex.terms.select(*key, "idf").join(
-            asked.select(*key).distinct(), key, "left_semi"
-        )
+        weights = known.join(asked.select(*key).distinct(), key, "left_semi")
         weighted = _salted(asked, weights, key, F.col("query_id"))
-        weighted = weighted.join(F.broadcast(lex.corpora), "corpus_id")
         matched = _salted(lex.postings, weighted, key, F.col("doc_id"))
     length = 1.0 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")
     part = (

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
@@ -11,8 +10,8 @@ from quarry.config import EVALUATION, SearchSettings
 from quarry.operators.embed import Embedder
 from quarry.operators.evaluate import precision_at_k
 from quarry.plans.build import build_index
-from quarry.plans.search import search
-from quarry.session import broadcast_if_small, fresh_path, materialise
+from quarry.plans.search import search_both
+from quarry.session import broadcast_if_small, fresh_path
 from quarry.sources.goldset import judgements, label_map
 from quarry.sources.reviews import documents
 from quarry.sources.store import StoredIndex
@@ -48,17 +47,6 @@ def index_gold_set(
     return index, labels
 
 
-def both_searches(
-    index: StoredIndex,
-    queries: DataFrame,
-    embedder: Embedder | None = None,
-    settings: SearchSettings = EVALUATION,
-) -> DataFrame:
-    """Semantic and hybrid hits of the same queries, told apart by ``search_type``."""
-    semantic = search(index, queries, embedder, settings, use_bm25=False)
-    return semantic.unionByName(search(index, queries, embedder, settings, use_bm25=True))
-
-
 def evaluate(
     index: StoredIndex,
     labels: DataFrame,
@@ -67,16 +55,6 @@ def evaluate(
     embedder: Embedder | None = None,
     settings: SearchSettings = EVALUATION,
 ) -> DataFrame:
-    """Precision of semantic and hybrid search for every query and cutoff.
-
-    Each cutoff is its own search: a hybrid search for ten looks at other candidates than the first
-    ten of a search for fifteen.
-    """
-    reports = []
-    for k in cutoffs:
-        hits = both_searches(index, queries, embedder, replace(settings, top_k=k))
-        reports.append(precision_at_k(materialise(hits, "hits"), labels, queries, [k]))
-    report = reports[0]
-    for other in reports[1:]:
-        report = report.unionByName(other)
-    return report
+    """Precision of semantic and hybrid search for every query and cutoff."""
+    hits = search_both(index, queries, embedder, settings, cutoffs)
+    return precision_at_k(hits, labels, queries, cutoffs)

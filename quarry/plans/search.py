@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +13,11 @@ from quarry.config import SearchSettings
 from quarry.functions.scores import at_least
 from quarry.functions.text import not_blank
 from quarry.operators.embed import Embedder
-from quarry.operators.hybrid import hybrid
+from quarry.operators.hybrid import hybrid, hybrid_candidates, hybrid_hits, semantic_hits
 from quarry.operators.lexical import best_matches
 from quarry.operators.reports import with_documents
 from quarry.operators.semantic import nearest
+from quarry.session import materialise
 from quarry.sources.store import StoredIndex, with_corpus
 
 HIT_COLUMNS = ["corpus_id", "query_id", "doc_id", "score", "rank", "search_type"]
@@ -67,13 +70,44 @@ def search(
         hits = hybrid(index.documents, index.lexicon, asked, settings)
     else:
         hits = nearest(index.documents, asked, settings.top_k)
+    return _finished(hits, settings, "hybrid" if combine else "semantic")
+
+
+def _finished(hits: DataFrame, settings: SearchSettings, search_type: str) -> DataFrame:
     return (
         hits.filter(at_least("score", settings.min_score))
-        .withColumn("search_type", F.lit("hybrid" if combine else "semantic"))
+        .withColumn("search_type", F.lit(search_type))
         .select(*HIT_COLUMNS)
     )
 
 
+def search_both(
+    index: StoredIndex,
+    queries: DataFrame,
+    embedder: Embedder | None = None,
+    settings: SearchSettings = SearchSettings(),
+    cutoffs: Sequence[int] | None = None,
+) -> DataFrame:
+    """Semantic and hybrid hits of the same queries, for each cutoff ``k``.
+
+    Corpus and postings are read once, at the depth of the largest cutoff. Each cutoff then ranks its
+    own share of the candidates: a hybrid search for ten looks at fewer of them than one for fifteen.
+    """
+    if index.lexicon is None:
+        raise ValueError("this index has no lexicon")
+    check_queries(queries)
+    cutoffs = [settings.top_k] if cutoffs is None else list(cutoffs)
+    depth = max(cutoffs) * settings.oversample
+    asked = prepared(queries, embedder)
+    found = materialise(hybrid_candidates(index.documents, index.lexicon, asked, depth), "found")
+    parts = []
+    for k in cutoffs:
+        at_k = replace(settings, top_k=k)
+        for hits, kind in ((semantic_hits(found, k), "semantic"), (hybrid_hits(found, at_k), "hybrid")):
+            parts.append(_finished(hits, at_k, kind).withColumn("k", F.lit(k)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def lexical_search(index: StoredIndex, queries: DataFrame, top_k: int = 10) -> DataFrame:
     """The best documents by BM25 alone."""
     if index.lexicon is None:
