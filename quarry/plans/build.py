@@ -56,15 +56,18 @@ def build_index(
 ) -> tuple[StoredIndex, BuildStats]:
     """Embed ``docs(doc_id, combined_text)`` and save the index at ``path``, which must be new.
 
-    Every row is written once, together with its vector.
+    Every row is written once, together with its vector. Without any row there is no index.
     """
     spark = docs.sparkSession
     started = time.perf_counter()
     seen = Observation()
     write_documents(embedded(docs, embedder).observe(seen, F.count("*").alias("n")), path)
+    n = seen.get.get("n", 0)
+    if n == 0:
+        raise ValueError("no documents to index")
     check_counts(read_documents(spark, path))
     index = _finish(spark, path, embedder, search, buckets)
-    return index, BuildStats(seen.get["n"], time.perf_counter() - started)
+    return index, BuildStats(n, time.perf_counter() - started)
 
 
 def not_yet_indexed(docs: DataFrame, index: DataFrame) -> DataFrame:
@@ -84,7 +87,7 @@ def add_documents(docs: DataFrame, embedder: Embedder, path: str) -> int:
     seen = Observation()
     rows = embedded(not_yet_indexed(docs, index), embedder)
     write_documents(rows.observe(seen, F.count("*").alias("n")), path, mode="append")
-    return seen.get["n"]
+    return seen.get.get("n", 0)
 
 
 def refresh_lexicon(
