@@ -30,16 +30,15 @@ def hybrid_candidates(
         "candidates",
     )
     marked = broadcast_if_small(candidates.select(*PAIR, F.lit(True).alias("candidate")))
-    kept = (
+    summed = (
         document_scores(lex, queries)
         .join(marked, PAIR, "left")
         .withColumn("doc_id", F.when(F.col("candidate"), F.col("doc_id")))
-        .groupBy(*PAIR)
-        .agg(F.max("bm25").alias("bm25"))
+        .drop("candidate")
     )
-    # From here on a query has at most one row more than it has candidates.
+    # Summed up map-side, a query has at most one row more per task than it has candidates.
     merged = (
-        candidates.unionByName(kept, allowMissingColumns=True)
+        candidates.unionByName(summed, allowMissingColumns=True)
         .groupBy(*PAIR)
         .agg(*[F.max(name).alias(name) for name in ("semantic", "place", "bm25")])
     )

@@ -159,4 +159,5 @@ def best_matches(lex: Lexicon, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` best documents by BM25 alone, among those that share a word with the query."""
     scores = document_scores(lex, queries).withColumnRenamed("bm25", "score")
     scores = scores.withColumn("score", rounded("score"))
-    return top_k(scores, k, shards=F.pmod(F.xxhash64("doc_id"), F.lit(TERM_SALTS)))
+    # A task holds all sums of its documents, so its own best ``k`` are all it has to pass on.
+    return top_k(scores, k, shards=F.pmod(F.spark_partition_id(), F.lit(TERM_SALTS)))
