@@ -16,7 +16,12 @@ from quarry.config import EVALUATION  # noqa: E402
 from quarry.functions.scores import last_entry_wins, rounded  # noqa: E402
 from quarry.functions.text import combined_text, preview, tokens  # noqa: E402
 from quarry.functions.vectors import l2_normalise  # noqa: E402
-from quarry.operators.embed import HashedWords, HashedWordsSql, StoredVectors  # noqa: E402
+from quarry.operators.embed import (  # noqa: E402
+    HashedWords,
+    HashedWordsSql,
+    RefusingWords,
+    StoredVectors,
+)
 from quarry.operators.evaluate import compare, judged  # noqa: E402
 from quarry.operators.lexical import document_scores, normalised_scores, postings  # noqa: E402
 from quarry.operators.reports import (  # noqa: E402
@@ -27,7 +32,7 @@ from quarry.operators.reports import (  # noqa: E402
     norm_report,
 )
 from quarry.plans import build, goldset, search  # noqa: E402
-from quarry.session import fresh_path, spread  # noqa: E402
+from quarry.session import fresh_path, ship_package, spread  # noqa: E402
 from quarry.sources.goldset import judged_reviews, judgement_counts, judgements  # noqa: E402
 from quarry.sources.reviews import (  # noqa: E402
     documents,
@@ -57,6 +62,7 @@ def _once(name: str, make: Callable[[SparkSession, str], object]):
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -325,24 +331,10 @@ def stream_build(spark, sf):
     return _buckets(read_documents(spark, path))
 
 
-class _RefusesBars(HashedWords):
-    """An embedder that cannot take a certain character, to send rows to the quarantine."""
-
-    def encoder(self):
-        encode = super().encoder()
-
-        def strict(texts):
-            if any("|" in text for text in texts):
-                raise ValueError("bar in text")
-            return encode(texts)
-
-        return strict
-
-
 def quarantine(spark, sf):
     docs = _docs(spark, sf)
     good, failed = build.embed_with_quarantine(
-        docs, _RefusesBars(DIMENSION), fresh_path(spark, "quarantine"), max_errors=docs.count()
+        docs, RefusingWords(DIMENSION), fresh_path(spark, "quarantine"), max_errors=docs.count()
     )
     return good.select("doc_id", F.lit(False).alias("failed")).unionByName(
         failed.select("doc_id", F.lit(True).alias("failed"))

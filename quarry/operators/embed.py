@@ -144,6 +144,26 @@ class HashedWords(_RowWise):
         return encode
 
 
+class RefusingWords(HashedWords):
+    """Hashed words that fail on texts with a certain mark: a stand-in for a model that cannot take
+    every input, with which a quarantine can be tried out.
+    """
+
+    def __init__(self, dimension: int = 64, mark: str = "|"):
+        super().__init__(dimension)
+        self.mark = mark
+
+    def encoder(self) -> Callable[[Sequence[str]], np.ndarray]:
+        encode, mark = super().encoder(), self.mark
+
+        def strict(texts: Sequence[str]) -> np.ndarray:
+            if any(mark in text for text in texts):
+                raise ValueError(f"{mark!r} in text")
+            return encode(texts)
+
+        return strict
+
+
 class HashedWordsSql:
     """The same vectors from SQL functions only; costs two shuffles, so it is for batches."""
 

@@ -5,6 +5,10 @@ A lexicon is three tables, each with a ``corpus_id``:
 * ``postings(doc_id, term, tf, dl)``: how often a document of ``dl`` words has a term,
 * ``terms(term, df, idf)``: in how many documents a term occurs, and its weight,
 * ``corpora(n_docs, avgdl)``: one row per corpus.
+
+A corpus is a column of a gold set, or the only one of an ordinary index, so tables with one row per
+corpus are as small as a table is wide, and are broadcast without a check. A shuffle by ``corpus_id``
+alone would bring a whole corpus to one task and does not occur.
 """
 
 from __future__ import annotations

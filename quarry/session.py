@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 _local_scratch: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, for sessions started without ``--py-files``."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).parent
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='quarry-ship-')}/quarry", "zip", package.parent, package.name
+        )
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -72,12 +72,15 @@ def write_lexicon(spark: SparkSession, path: str, buckets: int | None = None) ->
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = spark.read.parquet(f"{path}/documents").select("corpus_id", "doc_id", "combined_text")
     # The same hash and number of partitions as the buckets, so each task writes one file.
+    table = f"quarry_postings_{uuid.uuid4().hex}"
     (
         postings(docs, buckets)
         .write.bucketBy(buckets, "doc_id")
         .option("path", f"{path}/postings")
-        .saveAsTable(f"quarry_postings_{uuid.uuid4().hex}")
+        .saveAsTable(table)
     )
+    # The table is external: this removes its name and leaves the files.
+    spark.sql(f"DROP TABLE {table}")
     posted = spark.read.parquet(f"{path}/postings")
     corpora(docs, posted).write.parquet(f"{path}/corpora")
     stats = spark.read.parquet(f"{path}/corpora")
