@@ -26,7 +26,7 @@ DOCUMENTS_PER_CELL = 50_000
 # Queries multiplied at a time, so that a score matrix stays within some tens of megabytes.
 QUERIES_PER_TILE = 256
 # Shares into which the partial results of one query are split before the final merge.
-MERGE_SHARDS = 32
+MERGE_SHARDS = 256
 
 
 def _matrix(vectors: pa.ListArray, dimension: int | None = None) -> np.ndarray:

@@ -27,7 +27,6 @@ from quarry.sources.store import (
 class BuildStats:
     documents: int
     seconds: float
-    errors: int = 0
 
     @property
     def documents_per_second(self) -> float:

@@ -9,6 +9,7 @@ The postings are in buckets of ``doc_id``: sums per document then need no shuffl
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -25,6 +26,10 @@ from quarry.operators.lexical import (
     term_weights,
 )
 
+# Reviews of some hundred words give a bucket of about 100 MB. Give the number of buckets yourself
+# if the documents are much longer.
+DOCUMENTS_PER_BUCKET = 50_000
+
 POSTINGS_COLUMNS = "corpus_id STRING, doc_id BIGINT, term STRING, tf BIGINT, dl BIGINT"
 SETTINGS_COLUMNS = (
     "model string, dimension int, use_bm25 boolean, bm25_weight double, buckets int"
@@ -66,11 +71,13 @@ def _bucketed_table(spark: SparkSession, path: str, buckets: int) -> DataFrame:
 def write_lexicon(spark: SparkSession, path: str, buckets: int | None = None) -> int:
     """Derive the lexicon from the saved documents and save it; returns the number of buckets.
 
-    Buckets are filled evenly, as ids are unique. On a cluster choose the number so that a bucket
-    is read by one task in reasonable time; the default is the session's shuffle partitions.
+    Buckets are filled evenly, as ids are unique. A bucket is read by one task, so their number
+    grows with the corpus unless it is given.
     """
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = spark.read.parquet(f"{path}/documents").select("corpus_id", "doc_id", "combined_text")
+    if buckets is None:
+        fewest = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(fewest, math.ceil(docs.count() / DOCUMENTS_PER_BUCKET))
     # The same hash and number of partitions as the buckets, so each task writes one file.
     table = f"quarry_postings_{uuid.uuid4().hex}"
     (
