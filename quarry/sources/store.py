@@ -76,7 +76,8 @@ def write_lexicon(spark: SparkSession, path: str, buckets: int | None = None) ->
     """
     docs = spark.read.parquet(f"{path}/documents").select("corpus_id", "doc_id", "combined_text")
     if buckets is None:
-        fewest = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        fewest = min(partitions, spark.sparkContext.defaultParallelism)
         buckets = max(fewest, math.ceil(docs.count() / DOCUMENTS_PER_BUCKET))
     # The same hash and number of partitions as the buckets, so each task writes one file.
     table = f"quarry_postings_{uuid.uuid4().hex}"
