@@ -43,6 +43,15 @@ from quarry.sources.reviews import (  # noqa: E402
 from quarry.sources.store import StoredIndex, index_counts, read_documents, with_corpus  # noqa: E402
 from quarry.streaming.build import index_stream, read_stream  # noqa: E402
 
+# The training-data operators can be left out as a whole.
+try:
+    from quarry.llm.queries import ORACLES as LLM_ORACLES  # noqa: E402
+    from quarry.llm.queries import QUERIES as LLM_QUERIES  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("quarry.llm", "quarry.llm.queries"):
+        raise
+    LLM_QUERIES, LLM_ORACLES = {}, {}
+
 DIMENSION = 64
 EMBEDDER = HashedWords(DIMENSION)
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -394,8 +403,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "incremental_build": incremental_build,
         "stream_build": stream_build,
         "quarantine": quarantine,
-    }
+    } | LLM_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | LLM_ORACLES
