@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.chat import chat_digest, format_chat
 from quarry.llm.exact_copies import exact_copies
+from quarry.llm.packing import encode_stream, packed_pieces
+from quarry.llm.token_counts import Automaton, byte_vocabulary, count_tokens
+from quarry.llm.token_files import read_token_files, write_token_files
 from quarry.llm.urls import BLOCKED_WORDS, filter_urls, host_rule
-from quarry.session import ship_package
+from quarry.session import fresh_path, ship_package
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,6 +22,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = byte_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return count_tokens(table(spark, sf, "documents"), Automaton(vocabulary), public_tokenizers.PATTERN)
+
+
+def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
+    stream = encode_stream(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return packed_pieces(stream, length=2048)
+
+
 # The rules that the query judges by.
 RULES = (
     ("allow", "com", "/"),
@@ -92,10 +106,20 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY sha256(coalesce(text, '')))
 """
 
+
+def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return read_token_files(write_token_files(table(spark, sf, "documents"), path, tokenizer, end_id=2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_packing": op2_packing,
     "op3_url_filter": op3_url_filter,
     "op4_chat_format": op4_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filter": OP3_SQL,
