@@ -1,25 +1,36 @@
 """Token ids of whole texts with a tokenizer file, fast enough for a large corpus.
 
-A text is cut before each run of ASCII white space. The tokenizers used here never form a token across such a cut, so
-the ids of the pieces, put together, are the ids of the text, and a piece that was seen before is a lookup. Texts with
-other white space, around which that is not certain, go through the tokenizer whole.
+A text is cut where the tokenizers used here never form a token across: before ASCII white space, and between a run of plain
+letters and digits and a run of ASCII marks. So the ids of the pieces, put together, are the ids of the text, and a piece
+that was seen before is a lookup. Where a cut is not certain (other characters, an apostrophe that may begin a
+contraction), the piece goes on to the next white space; texts with white space outside ASCII go through the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 WHITE = " \t\n\r\x0b\x0c"
-PIECE = re.compile(rf"[{WHITE}]*[^{WHITE}]+")
+PLAIN = "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
+MARK = r"[!-/:-@\[-`{-~]"
+PIECE = re.compile(
+    rf"[{WHITE}]*+(?:"
+    rf"{PLAIN}++(?:'{PLAIN}++)*+(?=[{WHITE}]|{MARK}|\Z)"
+    rf"|(?!'{PLAIN}){MARK}++(?=[{WHITE}]|{PLAIN}|\Z)"
+    rf"|[^{WHITE}]+)"
+)
 # White space of Unicode and control characters that only some libraries count as white space.
-OTHER_WHITE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
-# Bounds of the memory of one worker, not of the input: pieces remembered, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 48
+OTHER_WHITE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+# Bounds of the memory of one worker, not of the input: pieces remembered in each of two generations, the
+# longest of them, and characters that are worked on at once.
+REMEMBERED, LONGEST, BLOCK_CHARS = 300_000, 48, 1 << 20
 
 _encoders: dict[int, PieceEncoder] = {}
 
@@ -37,29 +48,61 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def ids(self, text: str) -> bytes:
+        # What was used of late, and what was used before that.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4").tobytes()
+        owners = np.array(found.word_ids, dtype=np.int64)
+        ends = (4 * np.searchsorted(owners, np.arange(len(pieces) + 1))).tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _look_up(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        found, missing = {}, []
+        for piece in pieces:
+            ids = self.young.get(piece)
+            if ids is None:
+                ids = self.old.get(piece)
+                if ids is None:
+                    missing.append(piece)
+                    continue
+                self.young[piece] = ids
+            found[piece] = ids
+        if missing:
+            fresh = dict(zip(missing, self._encode(missing)))
+            found.update(fresh)
+            self.young.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        return found
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
         if OTHER_WHITE.search(text):
-            return self._encode([text])[0]
+            return [text]
         pieces = PIECE.findall(text)
         tail = text[len(text.rstrip(WHITE)) :]
         if tail:
             pieces.append(tail)
-        known = self.known
-        missing = [p for p in dict.fromkeys(pieces) if p not in known]
-        if not missing:
-            return b"".join(map(known.__getitem__, pieces))
-        fresh = dict(zip(missing, self._encode(missing)))
-        got = b"".join([fresh[p] if p in fresh else known[p] for p in pieces])
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-        known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
-        return got
+        return pieces
+
+    def block(self, texts: list[str]) -> list[bytes]:
+        cut = [self._pieces(text) for text in texts]
+        get = self._look_up(set(chain.from_iterable(cut))).__getitem__
+        return [b"".join(map(get, pieces)) for pieces in cut]
+
+    def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, worked out in blocks."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= BLOCK_CHARS:
+                yield from self.block(held)
+                held, size = [], 0
+        yield from self.block(held)
 
 
 def encoder(file_content: str) -> PieceEncoder:

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.chat import chat_digest, format_chat
+from quarry.llm.decontaminate import contamination
 from quarry.llm.exact_copies import exact_copies
 from quarry.llm.packing import encode_stream, packed_pieces
+from quarry.llm.pages import extract_main_text
+from quarry.llm.quality import score_quality
 from quarry.llm.token_counts import Automaton, byte_vocabulary, count_tokens
 from quarry.llm.token_files import read_token_files, write_token_files
 from quarry.llm.urls import BLOCKED_WORDS, filter_urls, host_rule
@@ -96,6 +99,47 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def _sql_words(text: str) -> str:
+    lowered = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+OP5_SQL = f"""
+WITH items AS (SELECT item_id, {_sql_words("text")} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size,
+         array_to_string(w[j:j + least(10, len(w)) - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS j FROM items WHERE len(w) > 0)),
+docs AS (SELECT doc_id, {_sql_words("text")} AS w FROM documents),
+places AS (
+  SELECT doc_id, size, j, array_to_string(w[j:j + size - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS j
+        FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+found AS (SELECT doc_id, item_id, j, size FROM places JOIN windows USING (size, phrase)),
+hit AS (
+  SELECT doc_id, count(*) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(range(j, j + size)) AS p FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def op6_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_main_text(table(spark, sf, "pages"))
+
+
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"), threshold=0.3)
+
+
 def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_copies(table(spark, sf, "documents"))
 
@@ -118,11 +162,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_url_filter": op3_url_filter,
     "op4_chat_format": op4_chat_format,
+    "op5_decontamination": op5_decontamination,
+    "op6_main_text": op6_main_text,
+    "op7_quality": op7_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filter": OP3_SQL,
     "op4_chat_format": OP4_SQL,
+    "op5_decontamination": OP5_SQL,
     "op9_exact_dedup": OP9_SQL,
 }

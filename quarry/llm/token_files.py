@@ -169,11 +169,11 @@ class TokenFileReader:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], content: str, end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    encode = encoder(content)
     end = np.array([end_id], dtype="<u4").tobytes()
     for batch in batches:
-        for doc_id, text in zip(batch.column(0), batch.column(1)):
-            yield doc_id.as_py(), np.frombuffer(encode.ids(text.as_py()) + end, dtype="<u4")
+        texts = (text.as_py() for text in batch.column(1))
+        for doc_id, ids in zip(batch.column(0), encoder(content).ids(texts)):
+            yield doc_id.as_py(), np.frombuffer(ids + end, dtype="<u4")
 
 
 def write_token_files(
