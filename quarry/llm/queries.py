@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.llm.chat import chat_digest, format_chat
 from quarry.llm.decontaminate import contamination
 from quarry.llm.exact_copies import exact_copies
+from quarry.llm.near_copies import near_copies
 from quarry.llm.packing import encode_stream, packed_pieces
 from quarry.llm.pages import extract_main_text
 from quarry.llm.quality import score_quality
@@ -140,6 +141,35 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"), threshold=0.3)
 
 
+def op8_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_copies(table(spark, sf, "documents"), words=4, percent=80)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^ 	-]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[j:j + 3], ' ') || (CASE WHEN len(w) < 4 THEN ' ' ELSE '' END) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS j FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.doc_id, e.b FROM reached r JOIN both_ways e ON e.a = r.other)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
+FROM documents d JOIN reached r USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id, n
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_copies(table(spark, sf, "documents"))
 
@@ -165,6 +195,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_main_text": op6_main_text,
     "op7_quality": op7_quality,
+    "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
 }
@@ -172,5 +203,6 @@ ORACLES: dict[str, str] = {
     "op3_url_filter": OP3_SQL,
     "op4_chat_format": OP4_SQL,
     "op5_decontamination": OP5_SQL,
+    "op8_near_dedup": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
