@@ -30,7 +30,7 @@ PIECE = re.compile(
 OTHER_WHITE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 # Bounds of the memory of one worker, not of the input: pieces remembered in each of two generations, the
 # longest of them, and characters that are worked on at once.
-REMEMBERED, LONGEST, BLOCK_CHARS = 300_000, 48, 1 << 20
+REMEMBERED, LONGEST, BLOCK_CHARS = 600_000, 48, 1 << 21
 
 _encoders: dict[int, PieceEncoder] = {}
 
@@ -59,21 +59,17 @@ class PieceEncoder:
         ends = (4 * np.searchsorted(owners, np.arange(len(pieces) + 1))).tolist()
         return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
-    def _look_up(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        found, missing = {}, []
-        for piece in pieces:
-            ids = self.young.get(piece)
-            if ids is None:
-                ids = self.old.get(piece)
-                if ids is None:
-                    missing.append(piece)
-                    continue
-                self.young[piece] = ids
-            found[piece] = ids
+    def _look_up(self, pieces: set[str]) -> dict[str, bytes]:
+        found = dict(zip(pieces, map(self.young.get, pieces)))
+        unseen = [piece for piece, ids in found.items() if ids is None]
+        again = {piece: self.old[piece] for piece in unseen if piece in self.old}
+        missing = [piece for piece in unseen if piece not in again] if again else unseen
         if missing:
             fresh = dict(zip(missing, self._encode(missing)))
             found.update(fresh)
             self.young.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
+        found.update(again)
+        self.young.update(again)
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
         return found
