@@ -82,13 +82,13 @@ def set_digest(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, node, values`` per row: ``node`` is the digest of the set, ``values`` the signature in big-endian
-    bytes, whose order is that of the values; both null for an empty set."""
+    """``doc_id, h, n_shingles, node, values`` per row: ``h`` is a hash of the text, ``node`` the digest of the set, ``values``
+    the signature in big-endian bytes, whose order is that of the values; the last two are null for an empty set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, nodes, values = [], [], []
-            for value in batch.column(1):
+            for value in batch.column(2):
                 shingles = shingle_set(value.as_py(), words)
                 sizes.append(len(shingles))
                 nodes.append(set_digest(shingles) if len(shingles) else None)
@@ -96,15 +96,17 @@ def signatures(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.binary()),
                     pa.array(values, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "node", "values"],
+                names=["doc_id", "h", "n_shingles", "node", "values"],
             )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, node binary, values binary")
+    whole = text_of(text)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("h"), whole.alias("text"))
+    return rows.mapInArrow(sign, "doc_id long, h long, n_shingles long, node binary, values binary")
 
 
 def forest(nodes: DataFrame, *more: str) -> DataFrame:
@@ -330,24 +332,10 @@ def confirmed_links(
     return together.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def near_copies(
-    docs: DataFrame,
-    words: int = 5,
-    percent: int = 80,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    region: int = REGION,
-    block_nodes: int = BLOCK_NODES,
-    block_shingles: int = BLOCK_SHINGLES,
+def _classified(
+    docs: DataFrame, words: int, percent: int, doc_id: str, text: str, region: int, block_nodes: int, block_shingles: int
 ) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
-
-    Documents are linked where ``100 * common shingles >= percent * united shingles``; ``component_id`` is the smallest
-    ``doc_id`` that links lead to, and ``kept`` marks it. Null and empty texts, and those of white space, have no shingles
-    and are linked with nothing. A null id is larger than all others; where all ids of a component are null, the component is null
-    and kept. Rows that repeat an id all say the same; ``drop_near_copies`` leaves one. An empty table gives an
-    empty result.
-    """
+    """``doc_id, h, n_shingles, root, component_id`` per row; ``root`` names the class and is null for an empty set."""
     signed = saved(signatures(docs, words, doc_id, text), "signatures")
     nodes = saved(
         signed.filter("node is not null")
@@ -362,19 +350,81 @@ def near_copies(
     groups = connected_components(candidate_links(nodes, region))
     links = confirmed_links(docs, nodes, groups, words, percent, doc_id, text, block_nodes, block_shingles)
     linked = saved(connected_components(links), "components")
-    named = linked.join(nodes.select("node", "first_id"), "node")
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    moved = named.join(least, "root").select("node", "component_id")
-    classes = (
+    classes = saved(
         nodes.select("node", "first_id")
-        .join(moved, "node", "left")
-        .select("node", F.coalesce("component_id", "first_id").alias("component_id"))
+        .join(linked, "node", "left")
+        .select("node", "first_id", F.coalesce("root", "node").alias("root")),
+        "classes",
+    )
+    least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = saved(classes.join(least, "root").select("node", "root", "component_id"), "named")
+    return signed.select("doc_id", "h", "n_shingles", "node").join(named, "node", "left").select(
+        "doc_id",
+        "h",
+        "n_shingles",
+        "root",
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    with_class = signed.select("doc_id", "n_shingles", "node").join(saved(classes, "classes"), "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return with_class.select(
+
+
+def near_copies(
+    docs: DataFrame,
+    words: int = 5,
+    percent: int = 80,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    region: int = REGION,
+    block_nodes: int = BLOCK_NODES,
+    block_shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
+
+    Documents are linked where ``100 * common shingles >= percent * united shingles``; ``component_id`` is the smallest
+    ``doc_id`` that links lead to, and ``kept`` marks it. Null and empty texts, and those of white space, have no shingles
+    and are linked with nothing. A null id is larger than all others; where all ids of a component are null, the component
+    is null and kept. Rows that repeat an id all say the same; ``drop_near_copies`` leaves one. An empty table gives an
+    empty result.
+    """
+    rows = _classified(docs, words, percent, doc_id, text, region, block_nodes, block_shingles)
+    return rows.select(
         F.col("doc_id").alias(doc_id),
         "n_shingles",
-        component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
+def drop_near_copies(
+    docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each group of near copies, that of the smallest ``doc_id``; all columns as they were.
+
+    Rows without shingles are in no group and all stay. Of rows that repeat the smallest id within a group, one stays.
+    Texts are shuffled only where more rows go than may be broadcast.
+    """
+    rows = _classified(docs, words, percent, doc_id, text, REGION, BLOCK_NODES, BLOCK_SHINGLES)
+    # Null ids last; equal ids by hash of the text.
+    place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "h")
+    filled = saved(rows.filter("root is not null").select("root", place.alias("place")), "placed")
+    chosen = filled.groupBy("root").agg(F.min("place").alias("first"))
+    going = filled.join(chosen, "root").filter("place <> first").select("place").distinct()
+    going = saved(going.select(F.col("place.doc_id").alias("__near_id"), F.col("place.h").alias("__near_hash")), "going")
+    tagged = docs.withColumn("__near_text", F.xxhash64(text_of(text)))
+
+    def met(other: DataFrame):
+        return tagged[doc_id].eqNullSafe(other["__near_id"]) & (tagged["__near_text"] == other["__near_hash"])
+
+    left = tagged.join(_small(going), met(going), "left_anti")
+    columns = [f"`{c}`" for c in docs.columns]
+    repeated = saved(
+        filled.groupBy("root", "place").count().join(chosen, "root").filter("place = first and count > 1").select(
+            F.col("place.doc_id").alias("__near_id"), F.col("place.h").alias("__near_hash")
+        ),
+        "repeated",
     )
+    if repeated.isEmpty():
+        return left.select(*columns)
+    # Rows alike in id and text: one of them stays.
+    once = left.join(_small(repeated), met(repeated), "left_anti")
+    many = left.join(_small(repeated), met(repeated), "left_semi").dropDuplicates([doc_id, "__near_text"])
+    return once.unionByName(many).select(*columns)

@@ -14,12 +14,12 @@ at most ``TRAIN_ROWS`` labelled rows; scoring runs where the documents are.
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -300,6 +300,16 @@ def fit_quality(
     return train(features, np.array([label for _, label, _ in data]))
 
 
+def _scorer(docs: DataFrame, labels: DataFrame, doc_id: str, text: str):
+    vectors = word_vectors(docs, text)
+    network = fit_quality(docs, labels, vectors, doc_id, text)
+
+    def scored(features: np.ndarray) -> pa.Array:
+        return pa.array(network.scores(features), pa.float64())
+
+    return vectors, scored
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -312,12 +322,7 @@ def score_quality(
     The score depends on the text alone and is higher where label 1 is likelier. Null texts count as empty and get a score
     too; a null id is not held out. Repeated rows are scored each for itself, an empty table gives an empty result.
     """
-    vectors = word_vectors(docs, text)
-    network = fit_quality(docs, labels, vectors, doc_id, text)
-
-    def scored(features: np.ndarray) -> pa.Array:
-        return pa.array(network.scores(features), pa.float64())
-
+    vectors, scored = _scorer(docs, labels, doc_id, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     out = _features(rows, vectors, scored, "doc_id long, score double")
     return out.select(
@@ -326,3 +331,23 @@ def score_quality(
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def drop_rejected(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` without the rows that score below ``threshold``, all columns as they were.
+
+    Rows are scored where they are, so nothing is shuffled and repeated rows are no matter.
+    """
+    vectors, scored = _scorer(docs, labels, doc_id, text)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            rows = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+            found = [scored(pooled(tokens, shared.value)).to_numpy() for _, tokens in _blocks([rows], 0)]
+            yield pd.Series(np.concatenate(found) if found else np.zeros(0))
+
+    return docs.filter(score(text_of(text)) >= threshold)
