@@ -45,10 +45,15 @@ from quarry.streaming.build import index_stream, read_stream  # noqa: E402
 
 # The training-data operators can be left out as a whole.
 try:
+    import corpus_pipeline  # noqa: E402
     from quarry.llm.queries import ORACLES as LLM_ORACLES  # noqa: E402
     from quarry.llm.queries import QUERIES as LLM_QUERIES  # noqa: E402
+
+    LLM_QUERIES = LLM_QUERIES | {"pipeline": corpus_pipeline.run}
+    if corpus_pipeline.ORACLE_SQL:
+        LLM_ORACLES = LLM_ORACLES | {"pipeline": corpus_pipeline.ORACLE_SQL}
 except ModuleNotFoundError as missing:
-    if missing.name not in ("quarry.llm", "quarry.llm.queries"):
+    if missing.name not in ("corpus_pipeline", "quarry.llm", "quarry.llm.queries"):
         raise
     LLM_QUERIES, LLM_ORACLES = {}, {}
 
