@@ -244,7 +244,7 @@ def main_blocks(page: str) -> list[str]:
             if block.path[: len(c)] == c:
                 if c and _tag(c[-1]) not in ("html", "body"):
                     return True
-                if len(block.path) == len(c) + 1 and _tag(block.path[-1]) in HEADINGS_AND_TEXT:
+                if block.path == c or len(block.path) == len(c) + 1 and _tag(block.path[-1]) in HEADINGS_AND_TEXT:
                     return True
         return False
 
