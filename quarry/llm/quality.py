@@ -6,7 +6,7 @@ of tasks. Words share a fixed number of rows of that table, and each task adds u
 shuffle do not grow with the vocabulary.
 
 A document is described by the vectors of its words and of their shapes (letter case, kind of characters): their means, the
-extremes of the means of its stretches, and how alike neighbours are. Two layers turn that into a logit, which is divided
+extremes of the means of its stretches, and the share of words that repeat the one before. Two layers turn that into a logit, which is divided
 by a temperature that was fitted on rows the layers have not seen. The network is trained in the driver, on
 at most ``TRAIN_ROWS`` labelled rows; scoring runs where the documents are.
 """
@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,15 +27,15 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import text_of
 
-WORDS, SHAPES, DIM, NONZERO = 1 << 14, 1 << 10, 32, 4
+WORDS, SHAPES, DIM, NONZERO = 1 << 14, 1 << 10, 16, 4
 REACH = 2
 STRETCH = 64
 # Labelled rows that the network is fitted on at most. All other figures cover all documents.
 TRAIN_ROWS = 20_000
-HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 40, 256, 3e-3, 1e-4, 7
-FEATURES = 6 * DIM + 3
+HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 100, 256, 3e-3, 1e-4, 7
+FEATURES = 6 * DIM + 2
 # Bounds of the memory of one worker.
-BLOCK_TOKENS, REMEMBERED, LONGEST = 1 << 17, 400_000, 48
+BLOCK_CHARS, REMEMBERED, LONGEST = 1 << 20, 300_000, 48
 
 _PART = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 
@@ -51,70 +52,79 @@ def index_vectors(rows: int, seed: int) -> np.ndarray:
 WORD_INDEX, SHAPE_INDEX = index_vectors(WORDS, 1), index_vectors(SHAPES, 2)
 
 
-def shape(part: str) -> str:
-    """Case of a word, digits, or the marks themselves; with its length up to three."""
+def shape_row(part: str) -> int:
+    """Case of a word, digits, or the first of the marks, each with the length up to three."""
     size = min(len(part), 3)
     if part[0].isalpha():
-        kind = "lower" if part.islower() else "upper" if part.isupper() else "title" if part.istitle() else "mixed"
-        return f"{kind}{size}"
-    return f"digits{size}" if part[0].isdigit() else f"{part[0]}{size}"
+        return size + 4 * (0 if part.islower() else 1 if part.isupper() else 2 if part.istitle() else 3)
+    if part[0].isdigit():
+        return size + 16
+    return 20 + (4 * ord(part[0]) + size) % (SHAPES - 20)
+
+
+def packed_parts(chunk: str) -> bytes:
+    """Word row and shape row of each part of a chunk between white space, as one number each."""
+    parts = (chunk,) if chunk.isalpha() else _PART.findall(chunk)
+    rows = [(zlib.crc32(p.encode()) % WORDS * SHAPES + shape_row(p)).to_bytes(4, "little") for p in parts]
+    return b"".join(rows)
 
 
 class Tokens:
-    """Turns texts into pairs of numbers, word row and shape row, one for each part of a word."""
+    """Turns texts into numbers, ``word row * SHAPES + shape row`` for each part of a word.
+
+    Chunks are remembered in two generations, those used of late and those used before that.
+    """
 
     def __init__(self):
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        chunks = text.split()
-        known = self.known
-        fresh = {}
-        for chunk in dict.fromkeys(chunks):
-            if chunk not in known:
-                pairs = [
-                    (zlib.crc32(part.encode()) % WORDS, zlib.crc32(shape(part).encode()) % SHAPES)
-                    for part in _PART.findall(chunk)
-                ]
-                fresh[chunk] = np.array(pairs, dtype="<i4").tobytes()
-        data = b"".join([fresh[c] if c in fresh else known[c] for c in chunks])
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-        known.update((c, pairs) for c, pairs in fresh.items() if len(c) <= LONGEST)
-        return np.frombuffer(data, dtype="<i4").reshape(-1, 2)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split = [text.split() for text in texts]
+        chunks = set(chain.from_iterable(split))
+        found = dict(zip(chunks, map(self.young.get, chunks)))
+        for chunk in [c for c, parts in found.items() if parts is None]:
+            parts = self.old.get(chunk)
+            found[chunk] = parts = packed_parts(chunk) if parts is None else parts
+            if len(chunk) <= LONGEST:
+                self.young[chunk] = parts
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        return [np.frombuffer(b"".join(map(found.__getitem__, parts)), dtype="<i4") for parts in split]
 
 
 _tokens = Tokens()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of batches with the tokens of their texts, cut by number of tokens."""
+    """Slices of batches with the tokens of their texts, cut by length."""
     for batch in batches:
         begin, held, size = 0, [], 0
         for k, text in enumerate(batch.column(column)):
-            held.append(_tokens(text.as_py()))
+            held.append(text.as_py())
             size += len(held[-1])
-            if size >= BLOCK_TOKENS:
-                yield batch.slice(begin, k + 1 - begin), held
+            if size >= BLOCK_CHARS:
+                yield batch.slice(begin, k + 1 - begin), _tokens(held)
                 begin, held, size = k + 1, [], 0
         if held:
-            yield batch.slice(begin), held
+            yield batch.slice(begin), _tokens(held)
 
 
 def neighbour_sums(tokens: list[np.ndarray], into: np.ndarray) -> None:
     """Add the index vectors of each word's neighbours in its own document to the word's row."""
-    ids = np.concatenate(tokens) if tokens else np.zeros((0, 2), dtype=np.int32)
+    ids = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int32)
     if not len(ids):
         return
     document = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-    index = WORD_INDEX[ids[:, 0]] + SHAPE_INDEX[ids[:, 1]]
+    words = ids // SHAPES
+    index = WORD_INDEX[words] + SHAPE_INDEX[ids % SHAPES]
     around = np.zeros_like(index)
     for step in range(1, min(REACH, len(ids) - 1) + 1):
         together = (document[step:] == document[:-step])[:, None]
         around[step:] += index[:-step] * together
         around[:-step] += index[step:] * together
     for d in range(DIM):
-        into[:, d] += np.bincount(ids[:, 0], weights=around[:, d], minlength=WORDS).astype(np.int64)
+        into[:, d] += np.bincount(words, weights=around[:, d], minlength=WORDS).astype(np.int64)
 
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -161,21 +171,23 @@ def pooled(tokens: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
     ids = np.concatenate([tokens[k] for k in filled])
     sizes = sizes[filled]
     begins = np.cumsum(sizes) - sizes
-    both = np.hstack([vectors[ids[:, 0]], SHAPE_INDEX[ids[:, 1]].astype(np.float32)])
+    words = ids // SHAPES
+    both = np.empty((len(ids), 2 * DIM), dtype=np.float32)
+    both[:, :DIM] = vectors[words]
+    both[:, DIM:] = SHAPE_INDEX[ids % SHAPES]
     cuts = np.concatenate([np.arange(b, b + n, STRETCH) for b, n in zip(begins, sizes)])
-    stretch = np.add.reduceat(both, cuts) / np.diff(np.append(cuts, len(ids)))[:, None]
+    sums = np.add.reduceat(both, cuts)
     first = np.searchsorted(cuts, begins)
-    result[filled, : 2 * DIM] = np.add.reduceat(both, begins) / sizes[:, None]
-    result[filled, 2 * DIM : 4 * DIM] = np.maximum.reduceat(stretch, first)
-    result[filled, 4 * DIM : 6 * DIM] = np.minimum.reduceat(stretch, first)
-    # Alike neighbours: index vectors of a repeated word are the same.
-    alike = np.zeros((len(ids), 2), dtype=np.float32)
-    index = WORD_INDEX[ids[:, 0]]
-    alike[1:, 0] = (index[1:] * index[:-1]).sum(axis=1) / NONZERO
-    alike[1:, 1] = (both[1:, :DIM] * both[:-1, :DIM]).sum(axis=1)
-    alike[begins] = 0
-    result[filled, 6 * DIM : 6 * DIM + 2] = np.add.reduceat(alike, begins) / sizes[:, None]
-    result[filled, 6 * DIM + 2] = np.log1p(sizes)
+    result[filled, : 2 * DIM] = np.add.reduceat(sums, first) / sizes[:, None]
+    means = sums / np.diff(np.append(cuts, len(ids)))[:, None]
+    result[filled, 2 * DIM : 4 * DIM] = np.maximum.reduceat(means, first)
+    result[filled, 4 * DIM : 6 * DIM] = np.minimum.reduceat(means, first)
+    # Neighbours with the same index vector: a word that is repeated.
+    same = np.zeros(len(ids), dtype=np.float32)
+    same[1:] = words[1:] == words[:-1]
+    same[begins] = 0
+    result[filled, 6 * DIM] = np.add.reduceat(same, begins) / sizes
+    result[filled, 6 * DIM + 1] = np.log1p(sizes)
     return result
 
 
