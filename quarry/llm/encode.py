@@ -11,10 +11,11 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 
+from quarry.llm.memory import Memory, worker_state
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 WHITE = " \t\n\r\x0b\x0c"
@@ -32,8 +33,6 @@ OTHER_WHITE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u202
 # longest of them, and characters that are worked on at once.
 REMEMBERED, LONGEST, BLOCK_CHARS = 600_000, 48, 1 << 21
 
-_encoders: dict[int, PieceEncoder] = {}
-
 
 class PieceEncoder:
     """Gives ids as the bytes of little-endian unsigned 32-bit numbers.
@@ -48,9 +47,7 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # What was used of late, and what was used before that.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memory = Memory(REMEMBERED, LONGEST)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
@@ -59,21 +56,6 @@ class PieceEncoder:
         ends = (4 * np.searchsorted(owners, np.arange(len(pieces) + 1))).tolist()
         return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
-    def _look_up(self, pieces: set[str]) -> dict[str, bytes]:
-        found = dict(zip(pieces, map(self.young.get, pieces)))
-        unseen = [piece for piece, ids in found.items() if ids is None]
-        again = {piece: self.old[piece] for piece in unseen if piece in self.old}
-        missing = [piece for piece in unseen if piece not in again] if again else unseen
-        if missing:
-            fresh = dict(zip(missing, self._encode(missing)))
-            found.update(fresh)
-            self.young.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
-        found.update(again)
-        self.young.update(again)
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        return found
-
     @staticmethod
     def _pieces(text: str) -> list[str]:
         if OTHER_WHITE.search(text):
@@ -86,8 +68,13 @@ class PieceEncoder:
 
     def block(self, texts: list[str]) -> list[bytes]:
         cut = [self._pieces(text) for text in texts]
-        get = self._look_up(set(chain.from_iterable(cut))).__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        missing = list(self.memory.missing(set().union(*cut)))
+        if missing:
+            self.memory.learn(missing, self._encode(missing))
+        get = self.memory.young.__getitem__
+        found = [b"".join(map(get, pieces)) for pieces in cut]
+        self.memory.tidy()
+        return found
 
     def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, worked out in blocks."""
@@ -103,8 +90,4 @@ class PieceEncoder:
 
 def encoder(file_content: str) -> PieceEncoder:
     """The encoder of this worker for a tokenizer file; it is kept from task to task."""
-    key = hash(file_content)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = PieceEncoder(file_content)
-    return _encoders[key]
+    return worker_state(f"encoder {hash(file_content)}", lambda: PieceEncoder(file_content))

@@ -17,7 +17,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import text_of
+from quarry.llm.memory import Memory, worker_state
 
 WORDS, SHAPES, DIM, NONZERO = 1 << 14, 1 << 10, 16, 4
 REACH = 2
@@ -70,44 +70,34 @@ def packed_parts(chunk: str) -> bytes:
 
 
 class Tokens:
-    """Turns texts into numbers, ``word row * SHAPES + shape row`` for each part of a word.
-
-    Chunks are remembered in two generations, those used of late and those used before that.
-    """
+    """Turns texts into numbers, ``word row * SHAPES + shape row`` for each part of a word."""
 
     def __init__(self):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memory = Memory(REMEMBERED, LONGEST)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [text.split() for text in texts]
-        chunks = set(chain.from_iterable(split))
-        found = dict(zip(chunks, map(self.young.get, chunks)))
-        for chunk in [c for c, parts in found.items() if parts is None]:
-            parts = self.old.get(chunk)
-            found[chunk] = parts = packed_parts(chunk) if parts is None else parts
-            if len(chunk) <= LONGEST:
-                self.young[chunk] = parts
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        return [np.frombuffer(b"".join(map(found.__getitem__, parts)), dtype="<i4") for parts in split]
-
-
-_tokens = Tokens()
+        missing = self.memory.missing(set().union(*split))
+        self.memory.learn(missing, map(packed_parts, missing))
+        get = self.memory.young.__getitem__
+        found = [np.frombuffer(b"".join(map(get, chunks)), dtype="<i4") for chunks in split]
+        self.memory.tidy()
+        return found
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of batches with the tokens of their texts, cut by length."""
+    tokens = worker_state("quality", Tokens)
     for batch in batches:
         begin, held, size = 0, [], 0
         for k, text in enumerate(batch.column(column)):
             held.append(text.as_py())
             size += len(held[-1])
             if size >= BLOCK_CHARS:
-                yield batch.slice(begin, k + 1 - begin), _tokens(held)
+                yield batch.slice(begin, k + 1 - begin), tokens(held)
                 begin, held, size = k + 1, [], 0
         if held:
-            yield batch.slice(begin), _tokens(held)
+            yield batch.slice(begin), tokens(held)
 
 
 def neighbour_sums(tokens: list[np.ndarray], into: np.ndarray) -> None:

@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import text_of
+from quarry.llm.memory import Memory, worker_state
 
 NONE = -1
 # Bounds of the memory of one worker, not of the input.
-BLOCK_CHARS, REMEMBERED, LONGEST = 1 << 21, 500_000, 48
+BLOCK_CHARS, REMEMBERED, LONGEST = 1 << 21, 300_000, 48
 
 
 class Automaton:
@@ -129,26 +129,18 @@ class WordCounter:
 
         self.automaton = automaton
         self.words = regex.compile(pattern).findall
-        self.known: dict[str, int] = {}
+        self.memory = Memory(REMEMBERED, LONGEST)
 
-    def block(self, texts: list[str]) -> Iterator[tuple[int, int]]:
+    def block(self, texts: list[str]) -> list[tuple[int, int]]:
         """``words, tokens`` of each text."""
         split = [self.words(text) for text in texts]
-        missing = [w for w in set(chain.from_iterable(split)) if w not in self.known]
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = list(set(chain.from_iterable(split)))
+        missing = list(self.memory.missing(set().union(*split)))
         if missing:
-            found = self.automaton.counts([w.encode() for w in missing])
-            self.known.update(zip(missing, found.tolist()))
-        for words in split:
-            yield len(words), sum(map(self.known.__getitem__, words))
-        for word in missing:
-            if len(word) > LONGEST:
-                del self.known[word]
-
-
-_counters: dict[str, WordCounter] = {}
+            self.memory.learn(missing, self.automaton.counts([w.encode() for w in missing]).tolist())
+        get = self.memory.young.__getitem__
+        found = [(len(words), sum(map(get, words))) for words in split]
+        self.memory.tidy()
+        return found
 
 
 def count_tokens(
@@ -168,10 +160,7 @@ def count_tokens(
     name = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _counters:
-            _counters.clear()
-            _counters[name] = WordCounter(*shared.value)
-        counter = _counters[name]
+        counter = worker_state(f"counter {name}", lambda: WordCounter(*shared.value))
         for batch in batches:
             done, texts, size = [], [], 0
             for value in batch.column(1):
