@@ -12,17 +12,12 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from oracles import ORACLES  # noqa: E402
-from quarry.config import EVALUATION  # noqa: E402
+from quarry.config import EVALUATION, SearchSettings  # noqa: E402
 from quarry.functions.scores import last_entry_wins, rounded  # noqa: E402
 from quarry.functions.text import combined_text, preview, tokens  # noqa: E402
 from quarry.functions.vectors import l2_normalise  # noqa: E402
-from quarry.operators.embed import (  # noqa: E402
-    HashedWords,
-    HashedWordsSql,
-    RefusingWords,
-    StoredVectors,
-)
-from quarry.operators.evaluate import compare, judged  # noqa: E402
+from quarry.operators.embed import HashedWords, HashedWordsSql, StoredVectors  # noqa: E402
+from quarry.operators.evaluate import compare, judged, ranking_metrics  # noqa: E402
 from quarry.operators.lexical import document_scores, normalised_scores, postings  # noqa: E402
 from quarry.operators.reports import (  # noqa: E402
     checks_passed,
@@ -32,15 +27,22 @@ from quarry.operators.reports import (  # noqa: E402
     norm_report,
 )
 from quarry.plans import build, goldset, search  # noqa: E402
-from quarry.session import fresh_path, ship_package, spread  # noqa: E402
-from quarry.sources.goldset import judged_reviews, judgement_counts, judgements  # noqa: E402
+from quarry.session import fresh_path, materialise, ship_package  # noqa: E402
+from quarry.sources.goldset import judged_reviews, judgement_counts, judgements, label_map  # noqa: E402
 from quarry.sources.reviews import (  # noqa: E402
     documents,
     documents_by_id,
     page,
     sample_one,
 )
-from quarry.sources.store import StoredIndex, index_counts, read_documents, with_corpus  # noqa: E402
+from quarry.sources.store import (  # noqa: E402
+    StoredIndex,
+    failed_rows,
+    index_counts,
+    load_index,
+    read_documents,
+    with_corpus,
+)
 from quarry.streaming.build import index_stream, read_stream  # noqa: E402
 
 # The training-data operators can be left out as a whole.
@@ -82,22 +84,26 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _as_reviews(table: DataFrame) -> DataFrame:
     """The first line of a document is its summary, the rest its text; empty parts are NULL."""
-    lines = table.select("doc_id", "text", F.instr("text", "\n").alias("end"))
+    lines = table.select("doc_id", "text", "lang", "source", F.instr("text", "\n").alias("end"))
     summary = F.when(F.col("end") == 0, F.col("text")).otherwise(F.expr("left(text, end - 1)"))
     rest = F.when(F.col("end") > 0, F.expr("substring(text, end + 1)"))
     return lines.select(
         "doc_id",
         F.nullif(summary, F.lit("")).alias("summary"),
         F.nullif(rest, F.lit("")).alias("text"),
+        "lang",
+        "source",
     )
 
 
 def _reviews(spark, sf):
-    return _as_reviews(_table(spark, sf, "documents"))
+    return _as_reviews(_table(spark, sf, "documents")).drop("lang", "source")
 
 
 def _docs(spark, sf):
-    return documents(_as_reviews(spread(_table(spark, sf, "documents"), "doc_id")))
+    # The table is one file here and would be one task; a large one brings its own partitions.
+    table = _table(spark, sf, "documents").repartition(spark.sparkContext.defaultParallelism)
+    return documents(_as_reviews(table), keep=["lang", "source"])
 
 
 def _queries(spark, sf):
@@ -121,6 +127,10 @@ def _gold_queries(spark, sf):
 
 
 _index = _once("index", lambda spark, sf: build.scratch_index(_docs(spark, sf), EMBEDDER))
+
+
+def _short(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "combined_text")
 _gold_index = _once(
     "gold", lambda spark, sf: goldset.index_gold_set(_gold(spark, sf), _reviews(spark, sf), EMBEDDER)
 )
@@ -150,14 +160,18 @@ def _centroids(vectors: DataFrame, key) -> DataFrame:
 
 def _vector_search(spark, sf, key) -> DataFrame:
     vectors = _table(spark, sf, "embeddings").withColumn("doc_id", F.col("vec_id"))
-    stored = StoredVectors(vectors, DIMENSION)
-    docs = build.embedded(_table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), F.lit(None).cast("string").alias("combined_text")
-    ), stored)
-    index = StoredIndex(docs, None, None)
+    index = StoredIndex(with_corpus(vectors.select("doc_id", "embedding")), None, None)
     return _hits(search.search(index, _centroids(vectors, key)))
 
 
+def semantic_stored_vectors(spark, sf):
+    """The documents that have a vector, searched with the mean vector of each label."""
+    vectors = _table(spark, sf, "embeddings").withColumn("doc_id", F.col("vec_id"))
+    stored = StoredVectors(vectors, DIMENSION, missing="drop")
+    index = StoredIndex(build.embedded(_short(_docs(spark, sf)), stored), None, None)
+    return _hits(search.search(index, _centroids(vectors, F.col("label"))))
+
+
 def _search(spark, sf, **kwargs) -> DataFrame:
     return search.search(_index(spark, sf), _queries(spark, sf), EMBEDDER, **kwargs)
 
@@ -191,8 +205,22 @@ def text_preview(spark, sf):
     )
 
 
+def _judged_again(spark, sf):
+    """Judgements with repeats, other spellings and ids without a review."""
+    known = judgements(_gold(spark, sf))
+    parts = [
+        known.withColumn("label", F.lower("label")),
+        known.filter("corpus_id = 'toxic content'").withColumn("corpus_id", F.lit("high quality")),
+        _table(spark, sf, "documents").select(F.lit("toxic content"), "doc_id", F.lit("maybe")),
+        known.withColumn("doc_id", -1 - F.col("doc_id")),
+    ]
+    for part in parts:
+        known = known.union(part)
+    return known
+
+
 def gold_stats(spark, sf):
-    return judgement_counts(judgements(_gold(spark, sf)))
+    return judgement_counts(_judged_again(spark, sf), _reviews(spark, sf))
 
 
 def tokens_query(spark, sf):
@@ -240,8 +268,7 @@ def vector_norms(spark, sf):
 
 
 def index_stats(spark, sf):
-    index = _index(spark, sf)
-    return index_report(index.documents, index.settings)
+    return index_report(_index(spark, sf))
 
 
 def index_health(spark, sf):
@@ -250,7 +277,7 @@ def index_health(spark, sf):
 
 def bm25_scores(spark, sf):
     scores = document_scores(_index(spark, sf).lexicon, with_corpus(_queries(spark, sf)))
-    return scores.select("query_id", "doc_id", rounded("bm25", 4).alias("bm25"))
+    return scores.select("query_id", "doc_id", rounded("bm25", 6).alias("bm25"))
 
 
 def bm25_normalised(spark, sf):
@@ -291,6 +318,17 @@ def judged_hits(spark, sf):
     )
 
 
+def ranking_metrics_query(spark, sf):
+    index, labels = _gold_index(spark, sf)
+    queries = _gold_queries(spark, sf)
+    hits = search.search_both(index, queries, EMBEDDER, EVALUATION, (10, 15))
+    names = ["recall", "reciprocal_rank", "average_precision", "ndcg"]
+    found = ranking_metrics(materialise(hits, "hits"), labels, queries, (10, 15))
+    return found.select(
+        "corpus_id", "query_id", "search_type", "k", *[rounded(name, 6).alias(name) for name in names]
+    )
+
+
 def _precision(spark, sf):
     index, labels = _gold_index(spark, sf)
     return goldset.evaluate(index, labels, _gold_queries(spark, sf), (10, 15), EMBEDDER)
@@ -316,7 +354,9 @@ def enriched_hits(spark, sf):
 
 
 def hits_per_query_report(spark, sf):
-    return hits_per_query(_search(spark, sf, min_score=0.5), _queries(spark, sf))
+    index, _ = _gold_index(spark, sf)
+    queries = _gold_queries(spark, sf)
+    return hits_per_query(search.search(index, queries, EMBEDDER, min_score=0.5), queries)
 
 
 def dedupe_last_wins(spark, sf):
@@ -324,7 +364,7 @@ def dedupe_last_wins(spark, sf):
     return last_entry_wins(both).select("query_id", "doc_id", rounded("score", 6).alias("score"))
 
 
-def incremental_build(spark, sf):
+def _grown(spark, sf) -> str:
     """First the judged documents, then everything that is missing, then nothing new."""
     docs = _docs(spark, sf)
     path = fresh_path(spark, "incremental")
@@ -332,26 +372,82 @@ def incremental_build(spark, sf):
     build.build_index(docs.join(judged_ids, "doc_id", "left_semi"), EMBEDDER, path)
     build.add_documents(docs, EMBEDDER, path)
     build.add_documents(docs, EMBEDDER, path)
-    return _buckets(read_documents(spark, path))
+    return path
 
 
-def stream_build(spark, sf):
-    schema = _table(spark, sf, "documents").schema
-    arriving = read_stream(spark, sf, schema, pattern="documents.parquet")
+def _streamed(spark, sf) -> str:
+    """The judged documents arrive as a stream; the others are added to what it made."""
+    docs = _table(spark, sf, "documents")
+    arriving = documents(
+        _as_reviews(read_stream(spark, sf, docs.schema, pattern="documents.parquet")), keep=["lang", "source"]
+    )
+    judged_ids = _table(spark, sf, "labels").select("doc_id").distinct()
     path = fresh_path(spark, "stream")
     index_stream(
-        documents(_as_reviews(arriving)), EMBEDDER, path, f"{path}/checkpoint"
+        arriving.join(judged_ids, "doc_id", "left_semi"), EMBEDDER, path, f"{path}/checkpoint"
     ).awaitTermination()
-    return _buckets(read_documents(spark, path))
+    build.add_documents(_docs(spark, sf), EMBEDDER, path)
+    return path
+
+
+_grown_index = _once("grown", _grown)
+_streamed_index = _once("streamed", _streamed)
+
+
+def incremental_build(spark, sf):
+    return _buckets(read_documents(spark, _grown_index(spark, sf)))
+
+
+def stream_build(spark, sf):
+    return _buckets(read_documents(spark, _streamed_index(spark, sf)))
+
+
+def incremental_hybrid(spark, sf):
+    index = load_index(spark, _grown_index(spark, sf))
+    return _hits(search.search(index, _queries(spark, sf), EMBEDDER))
+
+
+def stream_hybrid(spark, sf):
+    index = load_index(spark, _streamed_index(spark, sf))
+    return _hits(search.search(index, _queries(spark, sf), EMBEDDER))
+
+
+def stored_settings_hybrid(spark, sf):
+    """An index saved with another weight, loaded and searched without saying so."""
+    path = fresh_path(spark, "weighted")
+    build.build_index(_docs(spark, sf), EMBEDDER, path, SearchSettings(bm25_weight=0.5))
+    return _hits(search.search(load_index(spark, path), _queries(spark, sf), EMBEDDER))
+
+
+def filtered_search(spark, sf):
+    return _hits(_search(spark, sf, where="lang = 'fr' AND source <> 'src0'"))
+
+
+def _refusing_words():
+    # Defined here so that it travels to the workers by value.
+    class RefusingWords(HashedWords):
+        """Hashed words that fail on texts with a bar: a model that cannot take every input."""
+
+        def encoder(self):
+            encode = super().encoder()
+
+            def strict(texts):
+                if any("|" in text for text in texts):
+                    raise ValueError("bar in text")
+                return encode(texts)
+
+            return strict
+
+    return RefusingWords(DIMENSION)
 
 
 def quarantine(spark, sf):
+    """A build that may lose a tenth of its rows, and what it kept and lost."""
     docs = _docs(spark, sf)
-    good, failed = build.embed_with_quarantine(
-        docs, RefusingWords(DIMENSION), fresh_path(spark, "quarantine"), max_errors=docs.count()
-    )
-    return good.select("doc_id", F.lit(False).alias("failed")).unionByName(
-        failed.select("doc_id", F.lit(True).alias("failed"))
+    path = fresh_path(spark, "quarantine")
+    index, _ = build.build_index(docs, _refusing_words(), path, max_errors=docs.count() // 10)
+    return index.documents.select("doc_id", F.lit(False).alias("failed")).unionByName(
+        failed_rows(spark, path).select("doc_id", F.lit(True).alias("failed"))
     )
 
 
@@ -366,14 +462,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "combined_text_space": combined_text_space,
         "nonempty_docs": nonempty_docs,
         "doc_lookup": doc_lookup,
-        "sample_row": lambda spark, sf: sample_one(_docs(spark, sf)),
-        "page_by_id": lambda spark, sf: page(_docs(spark, sf), size=500, offset=100),
+        "sample_row": lambda spark, sf: sample_one(_short(_docs(spark, sf))),
+        "page_by_id": lambda spark, sf: page(_short(_docs(spark, sf)), size=500, after=99),
         "text_preview": text_preview,
         "gold_join": lambda spark, sf: judged_reviews(
             judgements(_gold(spark, sf)), _reviews(spark, sf)
         ),
         "gold_unpivot": lambda spark, sf: judgements(_gold(spark, sf)),
         "gold_stats": gold_stats,
+        "gold_label_map": lambda spark, sf: label_map(_judged_again(spark, sf)),
         "tokens": tokens_query,
         "postings": postings_query,
         "corpus_stats": corpus_stats,
@@ -387,7 +484,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "health_checks": index_health,
         "checks_passed": lambda spark, sf: checks_passed(index_health(spark, sf)),
         "semantic_topk": lambda spark, sf: _vector_search(spark, sf, F.lit(0)),
-        "semantic_stored_vectors": lambda spark, sf: _vector_search(spark, sf, F.col("label")),
+        "semantic_stored_vectors": semantic_stored_vectors,
         "semantic_batch": lambda spark, sf: _hits(_search(spark, sf, use_bm25=False)),
         "semantic_threshold": lambda spark, sf: _hits(
             _search(spark, sf, use_bm25=False, min_score=0.5)
@@ -407,6 +504,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dedupe_last_wins": dedupe_last_wins,
         "incremental_build": incremental_build,
         "stream_build": stream_build,
+        "incremental_hybrid": incremental_hybrid,
+        "stream_hybrid": stream_hybrid,
+        "stored_settings_hybrid": stored_settings_hybrid,
+        "filtered_search": filtered_search,
+        "ranking_metrics": ranking_metrics_query,
         "quarantine": quarantine,
     } | LLM_QUERIES
 

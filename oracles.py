@@ -119,11 +119,11 @@ def semantic(k: int, name: str = "semantic") -> str:
     return ranked(name, "pairs", k)
 
 
-def hybrid(k: int, name: str = "hybrid") -> str:
-    return f"""{ranked(name + "_candidates", "pairs", 3 * k)},
+def hybrid(k: int, name: str = "hybrid", pairs: str = "pairs", weight: float = 0.3) -> str:
+    return f"""{ranked(name + "_candidates", pairs, 3 * k)},
 {name}_scored AS (
   SELECT corpus_id, query_id, doc_id,
-         round(0.7::DOUBLE * score + 0.3::DOUBLE * coalesce(bm25, 0)
+         round({1 - weight}::DOUBLE * score + {weight}::DOUBLE * coalesce(bm25, 0)
                / CASE WHEN best > 0 THEN best ELSE 1 END, 9) AS score
   FROM {name}_candidates LEFT JOIN bm25 USING (corpus_id, query_id, doc_id)
        LEFT JOIN (SELECT corpus_id, query_id, max(bm25) AS best FROM bm25 GROUP BY ALL)
@@ -153,7 +153,7 @@ def gold_hits() -> list[str]:
     for k in CUTOFFS:
         tables += [semantic(k, f"semantic_{k}"), hybrid(k, f"hybrid_{k}")]
         selects += [
-            f"SELECT '{kind}' AS search_type, {k} AS k, corpus_id, query_id, doc_id FROM {kind}_{k}"
+            f"SELECT '{kind}' AS search_type, {k} AS k, corpus_id, query_id, doc_id, rank FROM {kind}_{k}"
             for kind in ("semantic", "hybrid")
         ]
     return [
@@ -178,11 +178,38 @@ unit_centroids AS (
 pairs AS (
   SELECT 'all' AS corpus_id, query_id, vec_id AS doc_id,
          round(list_dot_product(v, embedding::DOUBLE[]), 9) AS score
-  FROM unit_centroids, embeddings)"""
-LABEL_CENTROIDS = CENTROIDS.replace("{key}", "label").replace("{source}", "embeddings")
-CENTROID = CENTROIDS.replace("{key}", "one").replace(
-    "{source}", "(SELECT 0 AS one, embedding FROM embeddings)"
+  FROM unit_centroids, embeddings{where})"""
+# Documents that have a vector.
+LABEL_CENTROIDS = (
+    CENTROIDS.replace("{key}", "label")
+    .replace("{source}", "embeddings")
+    .replace("{where}", " WHERE vec_id IN (SELECT doc_id FROM documents)")
 )
+CENTROID = (
+    CENTROIDS.replace("{key}", "one")
+    .replace("{source}", "(SELECT 0 AS one, embedding FROM embeddings)")
+    .replace("{where}", "")
+)
+# Judgements with repeats, other spellings and ids without a review.
+JUDGED_AGAIN = """again AS (
+  SELECT * FROM judgements
+  UNION ALL SELECT corpus_id, doc_id, lower(label) FROM judgements
+  UNION ALL SELECT 'high quality', doc_id, label FROM judgements WHERE corpus_id = 'toxic content'
+  UNION ALL SELECT 'toxic content', doc_id, 'maybe' FROM documents
+  UNION ALL SELECT corpus_id, -1 - doc_id, label FROM judgements)"""
+METRICS = """relevant AS (
+  SELECT corpus_id, count(*) AS n FROM judgements WHERE label = 'YES' GROUP BY corpus_id),
+places AS (
+  SELECT corpus_id, query_id, search_type, k, rank,
+         row_number() OVER (PARTITION BY corpus_id, query_id, search_type, k ORDER BY rank) AS nth
+  FROM found JOIN judgements USING (corpus_id, doc_id) WHERE label = 'YES'),
+summed AS (
+  SELECT corpus_id, query_id, search_type, k, count(*) AS c, min(rank) AS first, sum(nth / rank) AS precisions,
+         sum(1 / log2(rank + 1)) AS gain
+  FROM places GROUP BY corpus_id, query_id, search_type, k),
+asked AS (
+  SELECT corpus_id, query_id, search_type, k FROM queries, (VALUES ('semantic'), ('hybrid')) AS s(search_type),
+         (VALUES (10), (15)) AS c(k))"""
 
 CHECKS = """sizes AS (
   SELECT count(*) AS n_rows, count(combined_text) AS n_vectors,
@@ -219,7 +246,7 @@ ORACLES = {
     "page_by_id": query(
         REVIEWS,
         DOCS,
-        "SELECT doc_id, combined_text FROM docs ORDER BY doc_id LIMIT 500 OFFSET 100",
+        "SELECT doc_id, combined_text FROM docs WHERE doc_id > 99 ORDER BY doc_id LIMIT 500",
     ),
     "text_preview": query(
         REVIEWS,
@@ -236,8 +263,16 @@ FROM reviews""",
     "gold_unpivot": query(GOLD, "SELECT corpus_id, doc_id, label FROM judgements"),
     "gold_stats": query(
         GOLD,
+        JUDGED_AGAIN,
         """SELECT corpus_id, count(*) AS total_docs, count_if(label = 'YES')::BIGINT AS relevant_docs,
-  count_if(label = 'NO')::BIGINT AS irrelevant_docs FROM judgements GROUP BY corpus_id""",
+  count_if(label = 'NO')::BIGINT AS irrelevant_docs
+FROM again WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY corpus_id""",
+    ),
+    "gold_label_map": query(
+        GOLD,
+        JUDGED_AGAIN,
+        """SELECT corpus_id, doc_id, CASE WHEN bool_or(label = 'YES') THEN 'YES' WHEN bool_or(label = 'NO') THEN 'NO'
+  ELSE max(label) END AS label FROM again GROUP BY corpus_id, doc_id""",
     ),
     "tokens": query(
         REVIEWS,
@@ -286,7 +321,7 @@ FROM (SELECT doc_id, {words("combined_text")} AS w FROM docs)""",
         QUERIES,
         LEXICON,
         BM25,
-        "SELECT query_id, doc_id, round(bm25, 4) AS bm25 FROM bm25",
+        "SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM bm25",
     ),
     "bm25_normalised": query(
         REVIEWS,
@@ -308,6 +343,26 @@ FROM (SELECT *, max(bm25) OVER (PARTITION BY query_id) AS best FROM bm25)""",
         hits("best", None),
     ),
     "hybrid_topk": query(*SEARCH_BOTH, hybrid(10), hits("hybrid")),
+    "incremental_hybrid": query(*SEARCH_BOTH, hybrid(10), hits("hybrid")),
+    "stream_hybrid": query(*SEARCH_BOTH, hybrid(10), hits("hybrid")),
+    "stored_settings_hybrid": query(*SEARCH_BOTH, hybrid(10, weight=0.5), hits("hybrid")),
+    "filtered_search": query(
+        *SEARCH_BOTH,
+        """some_pairs AS (
+  SELECT pairs.* FROM pairs JOIN documents USING (doc_id) WHERE lang = 'fr' AND source <> 'src0')""",
+        hybrid(10, pairs="some_pairs"),
+        hits("hybrid"),
+    ),
+    "ranking_metrics": query(
+        *GOLD_BOTH,
+        *gold_hits(),
+        METRICS,
+        """SELECT corpus_id, query_id, search_type, k, round(coalesce(c / n, 0), 6) AS recall,
+  round(coalesce(1 / first, 0), 6) AS reciprocal_rank,
+  round(coalesce(precisions / least(n, k), 0), 6) AS average_precision,
+  round(coalesce(gain / list_sum(list_transform(range(1, least(n, k) + 1), lambda r: 1 / log2(r + 1))), 0), 6) AS ndcg
+FROM asked LEFT JOIN summed USING (corpus_id, query_id, search_type, k) LEFT JOIN relevant USING (corpus_id)""",
+    ),
     "hybrid_threshold": query(*SEARCH_BOTH, hybrid(10), hits("hybrid", 0.5)),
     "hybrid_vs_semantic": query(
         *SEARCH_BOTH,
@@ -352,10 +407,10 @@ JOIN (SELECT * FROM precisions WHERE search_type = 'hybrid') h USING (corpus_id,
 FROM hybrid LEFT JOIN reviews USING (doc_id) WHERE score >= 0""",
     ),
     "hits_per_query": query(
-        *SEARCH_BOTH,
+        *GOLD_BOTH,
         hybrid(10),
-        """SELECT query_id, count(doc_id) AS total_results FROM queries
-LEFT JOIN (SELECT * FROM hybrid WHERE score >= 0.5) USING (corpus_id, query_id) GROUP BY query_id""",
+        """SELECT corpus_id, query_id, count(doc_id) AS total_results FROM queries
+LEFT JOIN (SELECT * FROM hybrid WHERE score >= 0.5) USING (corpus_id, query_id) GROUP BY corpus_id, query_id""",
     ),
     "dedupe_last_wins": query(
         *SEARCH_BOTH,

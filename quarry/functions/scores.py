@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +56,22 @@ def top_k(
     return hits.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
+def best_of_task(hits: DataFrame, k: int, keys: Sequence[str] = QUERY_KEYS) -> DataFrame:
+    """The ``k`` best rows per key of each task, without a shuffle or a sort of all rows."""
+    order = [*keys, "score", "doc_id"]
+    ascending = [True] * len(keys) + [False, True]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            rows = batch if kept is None else pd.concat([kept, batch])
+            kept = rows.sort_values(order, ascending=ascending).groupby(list(keys), sort=False).head(max(k, 0))
+        if kept is not None:
+            yield kept
+
+    return hits.mapInPandas(run, hits.schema)
+
+
 def last_entry_wins(hits: DataFrame, keys: Sequence[str] = QUERY_KEYS) -> DataFrame:
     """One row per key and document: of repeated entries, the lowest score, which came last."""
     window = Window.partitionBy(*keys, "doc_id").orderBy(F.asc("score"))

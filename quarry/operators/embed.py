@@ -78,10 +78,13 @@ class _RowWise:
         # Declared nondeterministic so that no optimizer rule repeats the call, say for a filter.
         return df.withColumn(out_col, run.asNondeterministic()(F.col(text_col)))
 
-    def embed_checked(self, df: DataFrame, text_col: str, out_col: str, error_col: str) -> DataFrame:
+    def embed_checked(
+        self, df: DataFrame, text_col: str, out_col: str, error_col: str, max_errors: int | None = None
+    ) -> DataFrame:
         """As ``embed``, but a row that fails gets its error and no vector.
 
-        A failing call is repeated row by row, so one bad row does not take its batch along.
+        A failing call is repeated row by row, so one bad row does not take its batch along. A task with
+        more failures than ``max_errors`` fails, which ends the job early.
         """
 
         def safely(encode, texts: list[str]) -> list[tuple]:
@@ -95,13 +98,16 @@ class _RowWise:
         @F.pandas_udf(CHECKED)
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             encode = self.encoder()
+            errors = 0
             for texts in batches:
                 texts = texts.fillna("").tolist()
-                pairs = [
-                    pair
-                    for i in range(0, len(texts), self.rows_per_call)
-                    for pair in safely(encode, texts[i : i + self.rows_per_call])
-                ]
+                pairs = []
+                for i in range(0, len(texts), self.rows_per_call):
+                    done = safely(encode, texts[i : i + self.rows_per_call])
+                    pairs += done
+                    errors += sum(error is not None for _, error in done)
+                    if max_errors is not None and errors > max_errors:
+                        raise RuntimeError(f"{errors} rows failed to embed, more than {max_errors}")
                 yield pd.DataFrame(pairs, columns=["vector", "error"], dtype=object)
 
         # One call per row feeds both columns.
@@ -144,26 +150,6 @@ class HashedWords(_RowWise):
         return encode
 
 
-class RefusingWords(HashedWords):
-    """Hashed words that fail on texts with a certain mark: a stand-in for a model that cannot take
-    every input, with which a quarantine can be tried out.
-    """
-
-    def __init__(self, dimension: int = 64, mark: str = "|"):
-        super().__init__(dimension)
-        self.mark = mark
-
-    def encoder(self) -> Callable[[Sequence[str]], np.ndarray]:
-        encode, mark = super().encoder(), self.mark
-
-        def strict(texts: Sequence[str]) -> np.ndarray:
-            if any(mark in text for text in texts):
-                raise ValueError(f"{mark!r} in text")
-            return encode(texts)
-
-        return strict
-
-
 class HashedWordsSql:
     """The same vectors from SQL functions only; costs two shuffles, so it is for batches."""
 
@@ -240,14 +226,21 @@ class ModelEmbedder(_RowWise):
 
 
 class StoredVectors:
-    """Vectors that exist already, joined by id; rows without a vector drop out."""
+    """Vectors that exist already, joined by id. A row without a vector is an error, unless ``missing`` is ``"drop"``."""
 
-    def __init__(self, vectors: DataFrame, dimension: int, name: str = "stored", key: str = "doc_id"):
+    def __init__(
+        self, vectors: DataFrame, dimension: int, name: str = "stored", key: str = "doc_id", missing: str = "error"
+    ):
         self.name = name
+        self.missing = missing
         self.dimension = dimension
         self.key = key
         self.vectors = vectors
 
     def embed(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
         vectors = self.vectors.select(self.key, F.col("embedding").cast(VECTOR).alias(out_col))
-        return df.join(vectors, self.key)
+        if self.missing == "drop":
+            return df.join(vectors, self.key)
+        found = df.join(vectors, self.key, "left")
+        absent = F.raise_error(F.concat(F.lit("no stored vector for "), F.col(self.key).cast("string")))
+        return found.withColumn(out_col, F.coalesce(F.col(out_col), absent.cast(VECTOR)))

@@ -4,7 +4,7 @@ A lexicon is three tables, each with a ``corpus_id``:
 
 * ``postings(doc_id, term, tf, dl)``: how often a document of ``dl`` words has a term,
 * ``terms(term, df, idf)``: in how many documents a term occurs, and its weight,
-* ``corpora(n_docs, avgdl)``: one row per corpus.
+* ``corpora(n_docs, n_words, avgdl)``: one row per corpus.
 
 A corpus is a column of a gold set, or the only one of an ordinary index, so tables with one row per
 corpus are as small as a table is wide, and are broadcast without a check. A shuffle by ``corpus_id``
@@ -15,16 +15,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import BM25_B, BM25_EPSILON, BM25_K1
-from quarry.functions.scores import max_normalised, rounded, top_k
+from quarry.functions.scores import best_of_task, max_normalised, rounded, top_k
 from quarry.functions.text import tokens
-from quarry.session import BROADCAST_ROWS, broadcast_if_small, fits_broadcast
+from quarry.session import BROADCAST_ROWS, broadcast_if_small, fits_broadcast, materialise
 
-# Shares into which a frequent term is cut when the query terms are too many to broadcast.
-TERM_SALTS = 64
+# Query terms up to which the scan itself is asked for them, so that it can skip what lacks them.
+PUSHED_TERMS = 1_000
+# Postings of one term that one task takes where the query terms are too many to broadcast.
+POSTINGS_PER_TASK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -64,11 +66,25 @@ def corpora(docs: DataFrame, posted: DataFrame) -> DataFrame:
     """Documents and average length of each corpus; documents without words count, with length 0."""
     sizes = docs.groupBy("corpus_id").agg(F.count("*").alias("n_docs"))
     lengths = posted.groupBy("corpus_id").agg(F.sum("tf").alias("n_words"))
-    return sizes.join(F.broadcast(lengths), "corpus_id", "left").select(
-        "corpus_id",
-        "n_docs",
-        (F.coalesce("n_words", F.lit(0)) / F.col("n_docs")).alias("avgdl"),
-    )
+    words = F.coalesce("n_words", F.lit(0)).alias("n_words")
+    return _with_average(sizes.join(F.broadcast(lengths), "corpus_id", "left").select("corpus_id", "n_docs", words))
+
+
+def _with_average(sizes: DataFrame) -> DataFrame:
+    return sizes.select("corpus_id", "n_docs", "n_words", (F.col("n_words") / F.col("n_docs")).alias("avgdl"))
+
+
+def merged_corpora(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The sizes of a corpus that grew."""
+    parts = old.select("corpus_id", "n_docs", "n_words").unionByName(new.select("corpus_id", "n_docs", "n_words"))
+    sums = [F.sum(name).alias(name) for name in ("n_docs", "n_words")]
+    return _with_average(parts.groupBy("corpus_id").agg(*sums))
+
+
+def merged_frequencies(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Document frequencies of a corpus that grew; no document is in both parts."""
+    parts = old.select("corpus_id", "term", "df").unionByName(new.select("corpus_id", "term", "df"))
+    return parts.groupBy("corpus_id", "term").agg(F.sum("df").alias("df"))
 
 
 def document_frequencies(posted: DataFrame) -> DataFrame:
@@ -110,14 +126,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def _salted(big: DataFrame, small: DataFrame, on: list[str], spread: Column) -> DataFrame:
-    """Inner join in which the rows of one busy key are spread over ``TERM_SALTS`` tasks."""
-    salt = F.pmod(F.xxhash64(spread), F.lit(TERM_SALTS))
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TERM_SALTS - 1).cast("long")))
+def _of_terms(posted: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The postings of ``terms(corpus_id, term)``, which are saved."""
+    n = terms.count()
+    if n <= PUSHED_TERMS:
+        wanted = [row.term for row in terms.select("term").distinct().collect()]
+        posted = posted.filter(F.col("term").isin(wanted))
+    if n <= broadcast_rows:
+        terms = F.broadcast(terms)
+    return posted.join(terms, ["corpus_id", "term"], "left_semi")
+
+
+def _salted(posted: DataFrame, weighted: DataFrame) -> DataFrame:
+    """Inner join by term in which a frequent term is cut into shares by its number of postings.
+
+    Only terms with more postings than a task takes are cut; there are no more of those than the corpus fills tasks.
+    """
+    key = ["corpus_id", "term"]
+    shares = F.ceil(F.col("df") / POSTINGS_PER_TASK)
+    cut = weighted.select(*key, shares.alias("_shares")).filter("_shares > 1").distinct()
+    share = F.when(F.col("_shares") > 1, F.pmod(F.xxhash64("doc_id"), F.col("_shares"))).otherwise(0)
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(shares, F.lit(1)) - 1))
     return (
-        big.withColumn("_salt", salt)
-        .join(small.withColumn("_salt", copies), [*on, "_salt"])
-        .drop("_salt")
+        posted.join(F.broadcast(cut), key, "left")
+        .withColumn("_share", share)
+        .drop("_shares")
+        .join(weighted.withColumn("_share", copies), [*key, "_share"])
+        .drop("_share")
     )
 
 
@@ -126,21 +161,20 @@ def document_scores(
 ) -> DataFrame:
     """``(corpus_id, query_id, doc_id, bm25)`` of the documents that share a word with the query."""
     key = ["corpus_id", "term"]
-    asked = query_terms(queries)
-    known = lex.terms.join(F.broadcast(lex.corpora), "corpus_id").select(*key, "idf", "avgdl")
-    if fits_broadcast(asked, broadcast_rows):
-        distinct = F.broadcast(asked.select(*key).distinct())
-        weights = known.join(distinct, key, "left_semi")
-        weighted = asked.join(F.broadcast(weights), key)
-        matching = lex.postings
+    asked = materialise(query_terms(queries), "asked")
+    wanted = materialise(asked.select(*key).distinct(), "wanted")
+    small = fits_broadcast(asked, broadcast_rows)
+    terms = F.broadcast(wanted) if small else wanted
+    known = lex.terms.join(F.broadcast(lex.corpora), "corpus_id").select(*key, "df", "idf", "avgdl")
+    weighted = asked.join(known.join(terms, key, "left_semi"), key)
+    matching = _of_terms(lex.postings, wanted, broadcast_rows)
+    if small:
         if not lex.bucketed:
             # Only postings of the words asked for are moved, and once for all queries.
-            matching = matching.join(distinct, key, "left_semi").repartition("doc_id")
+            matching = matching.repartition("doc_id")
         matched = matching.join(F.broadcast(weighted), key)
     else:
-        weights = known.join(asked.select(*key).distinct(), key, "left_semi")
-        weighted = _salted(asked, weights, key, F.col("query_id"))
-        matched = _salted(lex.postings, weighted, key, F.col("doc_id"))
+        matched = _salted(matching, materialise(weighted, "weighted"))
     length = 1.0 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")
     part = (
         F.col("qtf") * F.col("idf") * F.col("tf") * (BM25_K1 + 1.0)
@@ -150,7 +184,8 @@ def document_scores(
 
 
 def normalised_scores(scores: DataFrame) -> DataFrame:
-    """``scores`` with ``bm25_norm``, the share of the best score of the query."""
+    """``scores`` with ``bm25_norm``, the share of the best score of the query. The scores are worked out once and saved."""
+    scores = materialise(scores, "scores")
     best = scores.groupBy("corpus_id", "query_id").agg(F.max("bm25").alias("best"))
     return (
         scores.join(broadcast_if_small(best), ["corpus_id", "query_id"])
@@ -164,4 +199,4 @@ def best_matches(lex: Lexicon, queries: DataFrame, k: int) -> DataFrame:
     scores = document_scores(lex, queries).withColumnRenamed("bm25", "score")
     scores = scores.withColumn("score", rounded("score"))
     # A task holds all sums of its documents, so its own best ``k`` are all it has to pass on.
-    return top_k(scores, k, shards=F.pmod(F.spark_partition_id(), F.lit(TERM_SALTS)))
+    return top_k(best_of_task(scores, k), k)

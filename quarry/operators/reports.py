@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import norm
 from quarry.session import broadcast_if_small, materialise
-from quarry.sources.store import index_counts
+from quarry.sources.store import StoredIndex, index_counts, with_corpus
 
 
 def with_documents(hits: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -21,31 +21,30 @@ def with_documents(hits: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def hits_per_query(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """``total_results`` of every query, 0 if nothing was found."""
-    counts = hits.groupBy("query_id").agg(F.count("*").alias("total_results"))
-    return queries.select("query_id").join(counts, "query_id", "left").select(
-        "query_id", F.coalesce("total_results", F.lit(0)).alias("total_results")
+    """``total_results`` of every query of every corpus, 0 if nothing was found."""
+    key = ["corpus_id", "query_id"]
+    counts = hits.groupBy(*key).agg(F.count("*").alias("total_results"))
+    return with_corpus(queries).select(*key).join(counts, key, "left").select(
+        *key, F.coalesce("total_results", F.lit(0)).alias("total_results")
     )
 
 
 def nested_results(hits: DataFrame) -> DataFrame:
     """One row per query with its hits in rank order; at most ``k`` hits per query."""
     hit = F.struct("rank", "doc_id", "score", "summary", "text")
-    return hits.groupBy("query_id").agg(
+    return hits.groupBy("corpus_id", "query_id").agg(
         F.count("*").alias("total_results"), F.sort_array(F.collect_list(hit)).alias("results")
     )
 
 
-def index_report(docs: DataFrame, settings: Row) -> DataFrame:
-    """One row about the index: size, kind, model, dimension and BM25."""
-    text = F.col("combined_text") if "combined_text" in docs.columns else F.lit(None)
-    return docs.agg(
-        F.count("*").alias("total_documents"),
-        F.lit("exact inner product").alias("index_type"),
-        F.lit(settings.model).cast("string").alias("embedding_model"),
-        F.max(F.size("embedding")).alias("embedding_dimension"),
-        (F.count(text) == F.count("*")).alias("bm25_available"),
-        F.lit(settings.use_bm25).alias("bm25_enabled"),
+def index_report(index: StoredIndex) -> DataFrame:
+    """One row about the index: size, kind, model, dimension and BM25, from its commits."""
+    s = index.settings
+    row = (s.n_docs, "exact inner product", s.model, s.dimension, s.n_texts == s.n_docs, s.use_bm25)
+    return index.documents.sparkSession.createDataFrame(
+        [row],
+        "total_documents long, index_type string, embedding_model string, embedding_dimension int,"
+        " bm25_available boolean, bm25_enabled boolean",
     )
 
 
@@ -56,12 +55,11 @@ def norm_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def table_exists(spark: SparkSession, name: str) -> bool:
-    return spark.catalog.tableExists(name)
-
-
 def health_checks(reviews: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows ``(check_name, ok, detail)``: is there data, is there an index, do its sizes agree."""
+    """Rows ``(check_name, ok, detail)``: is there data, is there an index, do its sizes agree.
+
+    This is the thorough check, which counts the saved rows again.
+    """
     counts = index_counts(docs).select(
         F.explode(
             F.array(

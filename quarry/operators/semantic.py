@@ -6,23 +6,21 @@ task, so a scan emits at most ``k`` rows per query and task and never the pairs
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.config import SCORE_DECIMALS
 from quarry.functions.scores import top_k
+from quarry.session import in_passes
 
 # Queries sent to every task at once. At 768 dimensions this is 25 MB.
 QUERIES_PER_PASS = 4096
-# Documents per task when the query set is too large to send around.
-DOCUMENTS_PER_CELL = 50_000
 # Queries multiplied at a time, so that a score matrix stays within some tens of megabytes.
 QUERIES_PER_TILE = 256
 # Shares into which the partial results of one query are split before the final merge.
@@ -151,73 +149,27 @@ def _scan(index: DataFrame, queries: pa.Table, k: int, schema: T.StructType) ->
     return index.mapInArrow(run, schema)
 
 
-def _grid(
-    index: DataFrame, queries: DataFrame, n_queries: int, k: int, schema: T.StructType,
-    block: int, cell: int,
-) -> DataFrame:
-    """Query sets of any size: documents in shares, queries in blocks, one task per pair of them.
-
-    Ids are unique, so hashing them makes even shares; nothing passes through the driver.
-    """
-    shares = max(1, math.ceil(index.count() / cell))
-    blocks = math.ceil(n_queries / block)
-
-    def bucket(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64("corpus_id", key), F.lit(n))
-
-    documents = index.withColumn("share", bucket("doc_id", shares)).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    )
-    asked = queries.withColumn("block", bucket("query_id", blocks)).withColumn(
-        "share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))
-    )
-
-    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        if asked.num_rows == 0 or docs.num_rows == 0:
-            return pa.Table.from_batches([], _arrow_schema(schema))
-        scorer = _Scorer(asked, k)
-        scorer.add(docs)
-        return pa.Table.from_batches(list(scorer.result()), _arrow_schema(schema))
-
-    return (
-        documents.groupBy("share", "block")
-        .cogroup(asked.groupBy("share", "block"))
-        .applyInArrow(run, schema)
-    )
-
-
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def nearest(
-    index: DataFrame,
-    queries: DataFrame,
-    k: int,
-    queries_per_pass: int = QUERIES_PER_PASS,
-    documents_per_cell: int = DOCUMENTS_PER_CELL,
+    index: DataFrame, queries: DataFrame, k: int, queries_per_pass: int = QUERIES_PER_PASS
 ) -> DataFrame:
     """``(corpus_id, query_id, doc_id, score, rank)`` of the ``k`` best documents per query.
 
     A query sees the documents of its own corpus. Scores that are not numbers never rank; with
-    fewer than ``k`` documents all of them are returned.
+    fewer than ``k`` documents all of them are returned. More queries than go with a task are searched in
+    passes over the index.
     """
     schema = _hit_schema(queries)
     index = index.select("corpus_id", "doc_id", "embedding").filter("embedding is not null")
     queries = queries.select("corpus_id", "query_id", "query_vector").filter(
         "query_vector is not null"
     )
-    table = queries.limit(queries_per_pass + 1).toArrow()
-    if k <= 0 or table.num_rows == 0:
-        none = index.sparkSession.createDataFrame([], schema)
-        return none.withColumn("rank", F.lit(0))
-    if table.num_rows <= queries_per_pass:
-        hits = _scan(index, table, k, schema)
-    else:
-        hits = _grid(
-            index, queries, queries.count(), k, schema, queries_per_pass, documents_per_cell
-        )
-    shards = F.pmod(F.spark_partition_id(), F.lit(MERGE_SHARDS))
-    return top_k(hits, k, shards=shards)
+
+    def one_pass(some: DataFrame) -> DataFrame:
+        table = some.toArrow()
+        if k <= 0 or table.num_rows == 0:
+            none = index.sparkSession.createDataFrame([], schema)
+            return none.withColumn("rank", F.lit(0))
+        shards = F.pmod(F.spark_partition_id(), F.lit(MERGE_SHARDS))
+        return top_k(_scan(index, table, k, schema), k, shards=shards)
+
+    return in_passes(queries, queries_per_pass, one_pass, "nearest")

@@ -1,31 +1,32 @@
-"""Index builds: whole, incremental, and with a quarantine for rows that fail."""
+"""Index builds: whole and incremental, with a quarantine for rows that fail."""
 
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from quarry.config import SearchSettings
 from quarry.operators.embed import Embedder
 from quarry.session import fresh_path
 from quarry.sources.store import (
     StoredIndex,
-    check_counts,
+    append_batch,
+    check_buckets,
+    choose_buckets,
+    commits,
     load_index,
     read_documents,
     with_corpus,
-    write_documents,
-    write_lexicon,
-    write_settings,
 )
 
 
 @dataclass(frozen=True)
 class BuildStats:
     documents: int
+    errors: int
     seconds: float
 
     @property
@@ -33,17 +34,18 @@ class BuildStats:
         return self.documents / self.seconds if self.seconds > 0 else 0.0
 
 
-def embedded(docs: DataFrame, embedder: Embedder) -> DataFrame:
-    """Documents with their vector: the rows of an index."""
-    return embedder.embed(with_corpus(docs), "combined_text", "embedding").select(
-        "corpus_id", "doc_id", "combined_text", "embedding"
-    )
-
+def embedded(docs: DataFrame, embedder: Embedder, max_errors: int | None = None) -> DataFrame:
+    """Documents with their vector: the rows of an index, with all columns of ``docs``.
 
-def _finish(spark, path: str, embedder: Embedder, search: SearchSettings, buckets: int | None) -> StoredIndex:
-    used = write_lexicon(spark, path, buckets) if search.use_bm25 else 0
-    write_settings(spark, path, embedder.name, embedder.dimension, search, used)
-    return load_index(spark, path, check=False)
+    With ``max_errors``, rows that fail get an ``error`` instead, and a task that alone has more of them ends the job.
+    """
+    docs = with_corpus(docs)
+    if max_errors is None:
+        rows = embedder.embed(docs, "combined_text", "embedding")
+    else:
+        rows = embedder.embed_checked(docs, "combined_text", "embedding", "error", max_errors)
+    first = ["corpus_id", "doc_id", "combined_text", "embedding"]
+    return rows.select(*first, *[f"`{c}`" for c in rows.columns if c not in first])
 
 
 def build_index(
@@ -52,21 +54,33 @@ def build_index(
     path: str,
     search: SearchSettings = SearchSettings(),
     buckets: int | None = None,
+    max_errors: int | None = None,
 ) -> tuple[StoredIndex, BuildStats]:
     """Embed ``docs(doc_id, combined_text)`` and save the index at ``path``, which must be new.
 
-    Every row is written once, together with its vector. Without any row there is no index.
+    Further columns are kept, to filter by. Every row is written once, together with its vector. Without any row there is no
+    index. With ``max_errors``, rows that fail stay beside the index (``failed_rows``), up to that many.
     """
     spark = docs.sparkSession
     started = time.perf_counter()
-    seen = Observation()
-    write_documents(embedded(docs, embedder).observe(seen, F.count("*").alias("n")), path)
-    n = seen.get.get("n", 0)
-    if n == 0:
-        raise ValueError("no documents to index")
-    check_counts(read_documents(spark, path))
-    index = _finish(spark, path, embedder, search, buckets)
-    return index, BuildStats(n, time.perf_counter() - started)
+    if commits(spark, path):
+        raise FileExistsError(f"there already exists an index at {path}")
+    if not search.use_bm25:
+        buckets = 0
+    else:
+        buckets = check_buckets(spark, choose_buckets(docs) if buckets is None else buckets)
+    done = append_batch(
+        embedded(docs, embedder, max_errors),
+        path,
+        uuid.uuid4().hex,
+        embedder.name,
+        embedder.dimension,
+        search,
+        buckets,
+        max_errors,
+    )
+    seconds = time.perf_counter() - started
+    return load_index(spark, path), BuildStats(done.n_docs, done.n_failed, seconds)
 
 
 def not_yet_indexed(docs: DataFrame, index: DataFrame) -> DataFrame:
@@ -76,54 +90,42 @@ def not_yet_indexed(docs: DataFrame, index: DataFrame) -> DataFrame:
     return fresh.dropDuplicates(["corpus_id", "doc_id"])
 
 
-def add_documents(docs: DataFrame, embedder: Embedder, path: str) -> int:
-    """Embed and append what the index at ``path`` lacks; running it again adds nothing.
-
-    Only the documents grow. The lexicon depends on the whole corpus and is derived again by
-    ``refresh_lexicon``.
-    """
-    index = read_documents(docs.sparkSession, path)
-    seen = Observation()
-    rows = embedded(not_yet_indexed(docs, index), embedder)
-    write_documents(rows.observe(seen, F.count("*").alias("n")), path, mode="append")
-    return seen.get.get("n", 0)
-
-
-def refresh_lexicon(
-    spark, source: str, path: str, embedder: Embedder,
-    search: SearchSettings = SearchSettings(), buckets: int | None = None,
-) -> StoredIndex:
-    """A new version of the index at ``path``: the documents of ``source`` and a lexicon to match."""
-    write_documents(read_documents(spark, source), path)
-    return _finish(spark, path, embedder, search, buckets)
-
+def add_documents(
+    docs: DataFrame, embedder: Embedder, path: str, batch: str | None = None, max_errors: int | None = None
+) -> int:
+    """Embed and append what the index at ``path`` lacks, with its postings; running it again adds nothing.
 
-def embed_with_quarantine(
-    docs: DataFrame, embedder, path: str, max_errors: int = 10
-) -> tuple[DataFrame, DataFrame]:
-    """Embed ``docs`` into two tables: rows with a vector, and failed rows with the reason.
-
-    One pass writes both. More failures than ``max_errors`` end the job, with the tables left for
-    inspection.
+    The word statistics are merged with those of before, so the grown index searches like one that was built whole. A
+    ``batch`` that was committed before is not added again.
     """
     spark = docs.sparkSession
-    (
-        embedder.embed_checked(with_corpus(docs), "combined_text", "embedding", "error")
-        .withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("failed"))
-        .write.partitionBy("status")
-        .parquet(path)
+    index = load_index(spark, path)
+    check_model(index, embedder)
+    kept = index.settings
+    search = SearchSettings(use_bm25=kept.use_bm25, bm25_weight=kept.bm25_weight)
+    rows = embedded(not_yet_indexed(docs, read_documents(spark, path)), embedder, max_errors)
+    batch = batch or uuid.uuid4().hex
+    if any(row.batch == batch for row in commits(spark, path)):
+        return 0
+    done = append_batch(
+        rows, path, batch, embedder.name, embedder.dimension, search, kept.buckets, max_errors, unique=True
     )
-    schema = "corpus_id string, doc_id long, combined_text string, embedding array<float>, error string, status string"
-    rows = spark.read.schema(schema).parquet(path)
-    good = rows.filter("status = 'ok'").drop("error", "status")
-    failed = rows.filter("status = 'failed'").select("corpus_id", "doc_id", "combined_text", "error")
-    errors = failed.count()
-    if errors > max_errors:
-        raise RuntimeError(f"{errors} rows failed to embed, more than {max_errors}; see {path}")
-    return good, failed
+    return done.n_docs
+
+
+def check_model(index: StoredIndex, embedder: Embedder) -> None:
+    """Raise if vectors of this embedder do not go with those of the index."""
+    kept = index.settings
+    if kept is not None and (kept.model, kept.dimension) != (embedder.name, embedder.dimension):
+        raise ValueError(
+            f"the index was built with {kept.model} of dimension {kept.dimension}, "
+            f"not {embedder.name} of dimension {embedder.dimension}"
+        )
 
 
 def scratch_index(docs: DataFrame, embedder: Embedder, **kwargs) -> StoredIndex:
     """An index in the scratch folder, for one session."""
     index, _ = build_index(docs, embedder, fresh_path(docs.sparkSession, "index"), **kwargs)
     return index
+
+

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
@@ -10,7 +11,7 @@ from quarry.config import EVALUATION, SearchSettings
 from quarry.operators.embed import Embedder
 from quarry.operators.evaluate import precision_at_k
 from quarry.plans.build import build_index
-from quarry.plans.search import search_both
+from quarry.plans.search import search_both, stored_settings
 from quarry.session import broadcast_if_small, fresh_path
 from quarry.sources.goldset import judgements, label_map
 from quarry.sources.reviews import documents
@@ -50,8 +51,9 @@ def evaluate(
     queries: DataFrame,
     cutoffs: Sequence[int] = (EVALUATION.top_k,),
     embedder: Embedder | None = None,
-    settings: SearchSettings = EVALUATION,
+    settings: SearchSettings | None = None,
 ) -> DataFrame:
-    """Precision of semantic and hybrid search for every query and cutoff."""
+    """Precision of semantic and hybrid search for every query and cutoff, with the weight the index was saved with."""
+    settings = replace(EVALUATION, bm25_weight=stored_settings(index).bm25_weight) if settings is None else settings
     hits = search_both(index, queries, embedder, settings, cutoffs)
     return precision_at_k(hits, labels, queries, cutoffs)

@@ -34,9 +34,10 @@ def judged_reviews(labels: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
-def judgement_counts(labels: DataFrame) -> DataFrame:
-    """Rows, YES and NO per query; any other label is in the total only."""
-    return labels.groupBy("corpus_id").agg(
+def judgement_counts(labels: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Rows, YES and NO per query, of the judged ids that have a review; any other label is in the total only."""
+    known = labels.join(reviews.select("doc_id"), "doc_id", "left_semi")
+    return known.groupBy("corpus_id").agg(
         F.count("*").alias("total_docs"),
         F.count_if(F.col("label") == "YES").alias("relevant_docs"),
         F.count_if(F.col("label") == "NO").alias("irrelevant_docs"),
@@ -44,5 +45,8 @@ def judgement_counts(labels: DataFrame) -> DataFrame:
 
 
 def label_map(labels: DataFrame) -> DataFrame:
-    """One label per query and document; where a gold set repeats an id, YES beats NO."""
-    return labels.groupBy("corpus_id", "doc_id").agg(F.max("label").alias("label"))
+    """One label per query and document. Where a gold set repeats an id, exactly ``YES`` wins, then exactly ``NO``, then the
+    last of the others in alphabetical order.
+    """
+    standing = F.when(F.col("label") == "YES", 2).when(F.col("label") == "NO", 1).otherwise(0)
+    return labels.groupBy("corpus_id", "doc_id").agg(F.max_by("label", F.struct(standing, "label")).alias("label"))

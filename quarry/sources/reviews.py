@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from quarry.config import BuildSettings, jdbc_options
 from quarry.functions.text import combined_text, not_blank
-from quarry.session import spread
 
 REVIEWS_SCHEMA = T.StructType(
     [
@@ -30,7 +29,7 @@ def _renamed(reviews: DataFrame) -> DataFrame:
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    return _renamed(spread(spark.read.schema(REVIEWS_SCHEMA).parquet(path), "Id"))
+    return _renamed(spark.read.schema(REVIEWS_SCHEMA).parquet(path))
 
 
 def jdbc_scan_options(
@@ -57,13 +56,17 @@ def read_reviews_jdbc(spark: SparkSession, options: Mapping[str, str]) -> DataFr
 
 
 def documents(
-    reviews: DataFrame, sep: str = "\n\n", mode: str = "clean", keep_blank: bool = False
+    reviews: DataFrame,
+    sep: str = "\n\n",
+    mode: str = "clean",
+    keep_blank: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``doc_id`` and ``combined_text`` of each review that has any text."""
+    """``doc_id`` and ``combined_text`` of each review that has any text, and the columns to ``keep``."""
     if not keep_blank and mode == "clean":
         # On the parts, so that the filter moves down to the scan without the concatenation.
         reviews = reviews.filter(not_blank("summary") | not_blank("text"))
-    docs = reviews.select("doc_id", combined_text("summary", "text", sep, mode).alias("combined_text"))
+    docs = reviews.select("doc_id", combined_text("summary", "text", sep, mode).alias("combined_text"), *keep)
     if not keep_blank and mode == "compat":
         docs = docs.filter(F.col("combined_text") != "")
     return docs
@@ -78,9 +81,10 @@ def documents_by_id(reviews: DataFrame, ids: DataFrame) -> DataFrame:
     return reviews.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-def page(docs: DataFrame, size: int, offset: int = 0) -> DataFrame:
-    """One page in id order. For looking at data; jobs scan the table instead."""
-    return docs.orderBy("doc_id").offset(offset).limit(size)
+def page(docs: DataFrame, size: int, after: int | None = None) -> DataFrame:
+    """The next rows in id order behind the id ``after``; however far in, a page costs its own rows."""
+    rest = docs if after is None else docs.filter(F.col("doc_id") > after)
+    return rest.orderBy("doc_id").limit(size)
 
 
 def sample_one(docs: DataFrame) -> DataFrame:

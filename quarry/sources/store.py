@@ -1,38 +1,42 @@
-"""The saved index: a folder of Parquet tables.
+"""The saved index: a folder of Parquet tables that grows by batches.
 
-* ``documents``: ``corpus_id, doc_id, combined_text, embedding``,
-* ``postings``, ``terms``, ``corpora``: the lexicon, if there is one,
-* ``settings``: one row.
+* ``documents``: ``corpus_id, doc_id, combined_text, embedding`` and the columns kept for filters, by ``batch`` and ``status``
+  (``ok``, or ``failed`` with the reason as ``error``),
+* ``postings``: of all batches, in buckets of ``doc_id`` and sorted by term: sums per document need no shuffle, and row
+  groups without a wanted term are skipped,
+* ``terms``, ``corpora``: the word statistics as of each batch,
+* ``commits``: a row per batch with its counts and the settings, written last.
 
-The postings are in buckets of ``doc_id``: sums per document then need no shuffle.
+Only batches with a commit exist for readers, so a batch that broke off does no harm. One writer at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from quarry.config import DEFAULT_CORPUS, SearchSettings
 from quarry.operators.lexical import (
     Lexicon,
     corpora,
     document_frequencies,
+    merged_corpora,
+    merged_frequencies,
     postings,
     term_weights,
 )
 
-# Reviews of some hundred words give a bucket of about 100 MB. Give the number of buckets yourself
-# if the documents are much longer.
-DOCUMENTS_PER_BUCKET = 50_000
+# A bucket is read by one task, so their number goes by the length of the texts.
+CHARACTERS_PER_BUCKET = 64_000_000
 
-POSTINGS_COLUMNS = "corpus_id STRING, doc_id BIGINT, term STRING, tf BIGINT, dl BIGINT"
-SETTINGS_COLUMNS = (
-    "model string, dimension int, use_bm25 boolean, bm25_weight double, buckets int"
+POSTINGS_COLUMNS = "corpus_id STRING, doc_id BIGINT, term STRING, tf BIGINT, dl BIGINT, batch STRING"
+COMMIT_COLUMNS = (
+    "number long, batch string, n_docs long, n_vectors long, n_texts long, n_failed long,"
+    " model string, dimension int, use_bm25 boolean, bm25_weight double, buckets int"
 )
 
 
@@ -40,7 +44,8 @@ SETTINGS_COLUMNS = (
 class StoredIndex:
     documents: DataFrame
     lexicon: Lexicon | None
-    settings: Row
+    # Counts and settings; None for documents that were never saved.
+    settings: Row | None
 
 
 def with_corpus(docs: DataFrame) -> DataFrame:
@@ -50,75 +55,155 @@ def with_corpus(docs: DataFrame) -> DataFrame:
     return docs.withColumn("corpus_id", F.lit(DEFAULT_CORPUS))
 
 
-def write_documents(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write rows with their vectors. A fresh path per build: overwriting would first delete."""
-    docs = with_corpus(docs)
-    columns = ["corpus_id", "doc_id", "combined_text", "embedding"]
-    docs.select(*[c for c in columns if c in docs.columns]).write.mode(mode).parquet(
-        f"{path}/documents"
-    )
+def choose_buckets(docs: DataFrame) -> int:
+    """Buckets for an index that begins with ``docs``, from the length of their texts; within Spark's limit."""
+    spark = docs.sparkSession
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fewest = min(partitions, spark.sparkContext.defaultParallelism)
+    characters = docs.agg(F.sum(F.length("combined_text").cast("long"))).first()[0] or 0
+    return min(most, max(fewest, math.ceil(characters / CHARACTERS_PER_BUCKET)))
+
+
+def check_buckets(spark: SparkSession, buckets: int) -> int:
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    if not 1 <= buckets <= most:
+        raise ValueError(f"{buckets} buckets; Spark takes 1 to {most}")
+    return buckets
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def commits(spark: SparkSession, path: str) -> list[Row]:
+    """The commits of an index in their order; as many rows as it has batches."""
+    if not _exists(spark, f"{path}/commits"):
+        return []
+    found = spark.read.schema(COMMIT_COLUMNS).parquet(f"{path}/commits")
+    return sorted(found.collect(), key=lambda row: row.number)
+
+
+def _totals(done: list[Row]) -> Row:
+    last = done[-1].asDict()
+    sums = {name: sum(row[name] for row in done) for name in ("n_docs", "n_vectors", "n_texts", "n_failed")}
+    return Row(**last | sums)
 
 
-def _bucketed_table(spark: SparkSession, path: str, buckets: int) -> DataFrame:
-    name = f"quarry_postings_{uuid.uuid4().hex}"
+def _postings_table(spark: SparkSession, path: str, buckets: int) -> str:
+    """The name under which the catalog knows the postings at ``path``; one name per path."""
+    name = f"quarry_postings_{hashlib.md5(path.encode()).hexdigest()}"
+    location = path.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(
-        f"CREATE TABLE {name} ({POSTINGS_COLUMNS}) USING parquet "
-        f"CLUSTERED BY (doc_id) INTO {buckets} BUCKETS LOCATION '{path}/postings'"
+        f"CREATE TABLE IF NOT EXISTS {name} ({POSTINGS_COLUMNS}) USING parquet "
+        f"CLUSTERED BY (doc_id) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{location}/postings'"
     )
-    return spark.table(name)
+    spark.catalog.refreshTable(name)
+    return name
 
 
-def write_lexicon(spark: SparkSession, path: str, buckets: int | None = None) -> int:
-    """Derive the lexicon from the saved documents and save it; returns the number of buckets.
-
-    Buckets are filled evenly, as ids are unique. A bucket is read by one task, so their number
-    grows with the corpus unless it is given.
-    """
-    docs = spark.read.parquet(f"{path}/documents").select("corpus_id", "doc_id", "combined_text")
-    if buckets is None:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        fewest = min(partitions, spark.sparkContext.defaultParallelism)
-        buckets = max(fewest, math.ceil(docs.count() / DOCUMENTS_PER_BUCKET))
-    # The same hash and number of partitions as the buckets, so each task writes one file.
-    table = f"quarry_postings_{uuid.uuid4().hex}"
-    (
-        postings(docs, buckets)
-        .write.bucketBy(buckets, "doc_id")
-        .option("path", f"{path}/postings")
-        .saveAsTable(table)
+def _statistics(spark: SparkSession, path: str, batch: str) -> tuple[DataFrame, DataFrame]:
+    return (
+        spark.read.parquet(f"{path}/terms/batch={batch}"),
+        spark.read.parquet(f"{path}/corpora/batch={batch}"),
     )
-    # The table is external: this removes its name and leaves the files.
-    spark.sql(f"DROP TABLE {table}")
-    posted = spark.read.parquet(f"{path}/postings")
-    corpora(docs, posted).write.parquet(f"{path}/corpora")
-    stats = spark.read.parquet(f"{path}/corpora")
-    term_weights(document_frequencies(posted), stats).write.parquet(f"{path}/terms")
-    return buckets
 
 
-def write_settings(
-    spark: SparkSession, path: str, model: str, dimension: int, search: SearchSettings, buckets: int
-) -> None:
-    row = (model, dimension, search.use_bm25, search.bm25_weight, buckets)
-    spark.createDataFrame([row], SETTINGS_COLUMNS).coalesce(1).write.parquet(f"{path}/settings")
+def _add_words(spark: SparkSession, docs: DataFrame, path: str, batch: str, before: str | None, buckets: int) -> None:
+    """Postings of one batch, and the word statistics as they are with it."""
+    name = _postings_table(spark, path, buckets)
+    # The same hash and number of partitions as the buckets, so each task writes one file.
+    fresh = postings(docs, buckets).withColumn("batch", F.lit(batch))
+    fresh.write.bucketBy(buckets, "doc_id").sortBy("term").format("parquet").mode("append").option(
+        "path", f"{path}/postings"
+    ).saveAsTable(name)
+    spark.catalog.refreshTable(name)
+    posted = spark.table(name).filter(F.col("batch") == batch)
+    sizes, frequencies = corpora(docs, posted), document_frequencies(posted)
+    if before is not None:
+        old_terms, old_sizes = _statistics(spark, path, before)
+        sizes = merged_corpora(old_sizes, sizes)
+        frequencies = merged_frequencies(old_terms, frequencies)
+    sizes.write.parquet(f"{path}/corpora/batch={batch}")
+    stats = spark.read.parquet(f"{path}/corpora/batch={batch}")
+    term_weights(frequencies, stats).write.parquet(f"{path}/terms/batch={batch}")
+
+
+def append_batch(
+    rows: DataFrame,
+    path: str,
+    batch: str,
+    model: str,
+    dimension: int,
+    search: SearchSettings,
+    buckets: int,
+    max_errors: int | None = None,
+    unique: bool = False,
+) -> Row:
+    """Add embedded ``rows`` to the index at ``path`` and commit them; the first batch makes the index.
+
+    Rows with an ``error`` stay beside the index. More of them than ``max_errors``, a vector that is missing, or an id twice
+    is an error, and nothing is committed. ``unique`` says that the ids are known to be new.
+    """
+    spark = rows.sparkSession
+    done = commits(spark, path)
+    if any(row.batch == batch for row in done):
+        return next(row for row in done if row.batch == batch)
+    if "error" not in rows.columns:
+        rows = rows.withColumn("error", F.lit(None).cast("string"))
+    good = F.col("error").isNull()
+    seen = Observation()
+    counts = [
+        F.count_if(good).alias("n_docs"),
+        F.count_if(good & F.col("embedding").isNotNull()).alias("n_vectors"),
+        F.count_if(good & F.col("combined_text").isNotNull()).alias("n_texts"),
+        F.count_if(~good).alias("n_failed"),
+    ]
+    target = f"{path}/documents/batch={batch}"
+    rows.observe(seen, *counts).withColumn("status", F.when(good, "ok").otherwise("failed")).write.partitionBy(
+        "status"
+    ).mode("overwrite").parquet(target)
+    n = {name: seen.get.get(name, 0) for name in ("n_docs", "n_vectors", "n_texts", "n_failed")}
+    if max_errors is not None and n["n_failed"] > max_errors:
+        raise RuntimeError(f"{n['n_failed']} rows failed to embed, more than {max_errors}; see {target}")
+    if n["n_docs"] == 0:
+        if done:
+            return Row(**done[-1].asDict() | n)
+        raise ValueError("no documents to index")
+    if n["n_vectors"] != n["n_docs"]:
+        raise ValueError(f"index is inconsistent: {n['n_docs']} rows, {n['n_vectors']} vectors")
+    written = spark.read.parquet(target).filter("status = 'ok'")
+    if not unique and not written.groupBy("corpus_id", "doc_id").count().filter("count > 1").isEmpty():
+        raise ValueError(f"index is inconsistent: an id occurs twice in {target}")
+    if search.use_bm25:
+        docs = written.select("corpus_id", "doc_id", "combined_text")
+        _add_words(spark, docs, path, batch, done[-1].batch if done else None, buckets)
+    number = done[-1].number + 1 if done else 1
+    row = (number, batch, *n.values(), model, dimension, search.use_bm25, search.bm25_weight, buckets)
+    commit = spark.createDataFrame([row], COMMIT_COLUMNS)
+    commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return commit.first()
+
+
+def _batches(rows: DataFrame, done: list[Row]) -> DataFrame:
+    return rows.filter(F.col("batch").isin([row.batch for row in done]))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    return with_corpus(spark.read.parquet(f"{path}/documents"))
+    """The committed documents."""
+    rows = _batches(spark.read.parquet(f"{path}/documents"), commits(spark, path))
+    return rows.filter("status = 'ok'").drop("batch", "status", "error")
 
 
-def read_settings(spark: SparkSession, path: str) -> Row:
-    """The settings row. Values an older index lacks: BM25 off, weight 0.3, unbucketed postings."""
-    defaults = {"model": None, "dimension": None, "use_bm25": False, "bm25_weight": 0.3, "buckets": 0}
-    try:
-        stored = spark.read.parquet(f"{path}/settings").first().asDict()
-    except AnalysisException:
-        stored = {}
-    return Row(**defaults | {k: v for k, v in stored.items() if v is not None})
+def failed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``corpus_id, doc_id, combined_text, error`` of the rows beside the index."""
+    rows = _batches(spark.read.parquet(f"{path}/documents"), commits(spark, path))
+    return rows.filter("status = 'failed'").select("corpus_id", "doc_id", "combined_text", "error")
 
 
 def index_counts(docs: DataFrame) -> DataFrame:
-    """One row: rows, vectors, distinct ids and texts. All four agree in a sound index."""
+    """One row: rows, vectors, distinct ids and texts, counted from the documents. All four agree in a sound index."""
     text = F.col("combined_text") if "combined_text" in docs.columns else F.lit(None)
     rows = with_corpus(docs).groupBy("corpus_id", "doc_id").agg(
         F.count("*").alias("n"), F.count("embedding").alias("v"), F.count(text).alias("t")
@@ -131,37 +216,26 @@ def index_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def check_counts(docs: DataFrame) -> Row:
-    """Raise if vectors or ids do not match the rows; the caller decides about missing texts."""
-    counts = index_counts(docs).first()
-    if not counts.n_rows == counts.n_vectors == counts.n_ids:
-        raise ValueError(
-            f"index is inconsistent: {counts.n_rows} rows, {counts.n_vectors} vectors, "
-            f"{counts.n_ids} distinct ids"
-        )
-    return counts
-
-
-def load_index(spark: SparkSession, path: str, check: bool = True) -> StoredIndex:
-    """The index at ``path``; without texts for all rows it comes without BM25."""
-    try:
-        docs = read_documents(spark, path)
-    except AnalysisException as error:
-        raise FileNotFoundError(f"no index at {path}") from error
-    settings = read_settings(spark, path)
-    has_text = "combined_text" in docs.columns
-    if check:
-        counts = check_counts(docs)
-        has_text = has_text and counts.n_texts == counts.n_rows
+def load_old_index(spark: SparkSession, path: str) -> StoredIndex:
+    """An index of the older form, a folder of documents alone: searched without BM25."""
+    return StoredIndex(with_corpus(spark.read.parquet(f"{path}/documents")), None, None)
+
+
+def load_index(spark: SparkSession, path: str) -> StoredIndex:
+    """The index at ``path``, from its commits; without texts for all rows it comes without BM25.
+
+    A folder without a commit is no index. Counts come from the commits, so neither texts nor vectors are read.
+    """
+    done = commits(spark, path)
+    if not done:
+        raise FileNotFoundError(f"no index at {path}")
+    settings = _totals(done)
     lex = None
-    if has_text and settings.use_bm25:
-        bucketed = settings.buckets > 0
-        lex = Lexicon(
-            _bucketed_table(spark, path, settings.buckets)
-            if bucketed
-            else spark.read.parquet(f"{path}/postings"),
-            spark.read.parquet(f"{path}/terms"),
-            spark.read.parquet(f"{path}/corpora"),
-            bucketed,
-        )
-    return StoredIndex(docs, lex, settings)
+    if settings.use_bm25 and settings.n_texts == settings.n_docs:
+        posted = spark.table(_postings_table(spark, path, settings.buckets))
+        terms, sizes = _statistics(spark, path, settings.batch)
+        counted = sizes.agg(F.sum("n_docs")).first()[0]
+        if counted != settings.n_docs:
+            raise ValueError(f"lexicon of {counted} documents does not match {settings.n_docs} at {path}")
+        lex = Lexicon(_batches(posted, done).drop("batch"), terms, sizes, True)
+    return StoredIndex(read_documents(spark, path), lex, settings)

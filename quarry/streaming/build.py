@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from quarry.config import SearchSettings
 from quarry.operators.embed import Embedder
-from quarry.plans.build import embedded
+from quarry.plans.build import add_documents, embedded
+from quarry.sources.store import append_batch, check_buckets, choose_buckets, commits, with_corpus
 
 
 def read_stream(
@@ -22,21 +24,36 @@ def read_stream(
 
 
 def index_stream(
-    docs: DataFrame, embedder: Embedder, path: str, checkpoint: str, once: bool = True
+    docs: DataFrame,
+    embedder: Embedder,
+    path: str,
+    checkpoint: str,
+    once: bool = True,
+    search: SearchSettings = SearchSettings(),
+    buckets: int | None = None,
 ) -> StreamingQuery:
-    """Embed arriving ``docs(doc_id, combined_text)`` and append them to ``path/documents``.
+    """Embed arriving ``docs(doc_id, combined_text)`` and add them to the index at ``path``, which the first rows begin.
 
-    The file sink and the checkpoint give each input row to the index exactly once, also after a
-    restart. The embedder must work row by row (``HashedWords``, ``ModelEmbedder``), so the stream
-    keeps no state. ``once`` handles what is there and stops.
+    Each micro-batch is a batch of the index under its own name, through the same code as ``add_documents``, so a batch that
+    is repeated after a failure is committed once, and other batches may be added in between. The number of
+    buckets stays what the first rows ask for; give ``buckets`` if more will follow. ``once`` handles what is there and
+    stops.
     """
-    writer = (
-        embedded(docs, embedder)
-        .writeStream.format("parquet")
-        .option("path", f"{path}/documents")
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
+
+    def add(rows: DataFrame, number: int) -> None:
+        batch = f"stream-{number}"
+        if commits(rows.sparkSession, path):
+            add_documents(rows, embedder, path, batch)
+            return
+        if rows.isEmpty():
+            return
+        fresh = with_corpus(rows).dropDuplicates(["corpus_id", "doc_id"])
+        size = check_buckets(rows.sparkSession, buckets or choose_buckets(rows)) if search.use_bm25 else 0
+        append_batch(
+            embedded(fresh, embedder), path, batch, embedder.name, embedder.dimension, search, size, unique=True
+        )
+
+    writer = docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.start()

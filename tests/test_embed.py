@@ -78,5 +78,5 @@ def test_embedder_runs_once_per_row(docs):
 
 def test_stored_vectors_join_by_id(spark, docs):
     vectors = spark.createDataFrame([(1, [1.0, 0.0])], "doc_id long, embedding array<double>")
-    got = StoredVectors(vectors, 2).embed(docs, "combined_text", "v").collect()
+    got = StoredVectors(vectors, 2, missing="drop").embed(docs, "combined_text", "v").collect()
     assert [(r.doc_id, r.v) for r in got] == [(1, [1.0, 0.0])]

@@ -1,7 +1,9 @@
+import math
+
 import pytest
 
 from quarry.operators.embed import HashedWords
-from quarry.operators.evaluate import compare, judged, precision_at_k
+from quarry.operators.evaluate import compare, judged, precision_at_k, ranking_metrics
 from quarry.plans.goldset import evaluate, gold_documents, index_gold_set
 from quarry.sources.goldset import judged_reviews, judgement_counts, judgements, label_map
 
@@ -22,9 +24,10 @@ def test_judgements_by_column_name(gold):
         judgements(gold, ["other"])
 
 
-def test_counts_take_exact_labels_only(gold):
-    got = {r.corpus_id: (r.total_docs, r.relevant_docs, r.irrelevant_docs) for r in judgement_counts(judgements(gold)).collect()}
-    assert got == {"dog got sick": (3, 2, 1), "refund": (4, 1, 2)}
+def test_counts_take_exact_labels_and_known_reviews_only(gold, reviews):
+    counts = judgement_counts(judgements(gold), reviews).collect()
+    got = {r.corpus_id: (r.total_docs, r.relevant_docs, r.irrelevant_docs) for r in counts}
+    assert got == {"dog got sick": (2, 1, 1), "refund": (4, 1, 2)}
 
 
 def test_join_with_reviews(gold, reviews):
@@ -37,9 +40,28 @@ def test_join_with_reviews(gold, reviews):
 
 
 def test_repeated_judgements_become_one(spark):
-    rows = [("c", 1, "NO"), ("c", 1, "YES")]
+    rows = [("c", 1, "NO"), ("c", 1, "YES"), ("c", 1, "yes"), ("c", 2, "NO"), ("c", 2, "maybe"), ("c", 3, "x"), ("c", 3, "y")]
     got = label_map(spark.createDataFrame(rows, "corpus_id string, doc_id long, label string")).collect()
-    assert [(r.doc_id, r.label) for r in got] == [(1, "YES")]
+    assert sorted((r.doc_id, r.label) for r in got) == [(1, "YES"), (2, "NO"), (3, "y")]
+
+
+def test_ranking_metrics(spark):
+    hits = spark.createDataFrame(
+        [("c", 1, d, 0.5, r, "semantic", 4) for r, d in enumerate([9, 1, 8, 2], start=1)],
+        "corpus_id string, query_id long, doc_id long, score double, rank int, search_type string, k int",
+    )
+    labels = spark.createDataFrame(
+        [("c", 1, "YES"), ("c", 2, "YES"), ("c", 3, "YES"), ("c", 9, "NO")], "corpus_id string, doc_id long, label string"
+    )
+    queries = spark.createDataFrame([("c", 1), ("c", 2), ("d", 1)], "corpus_id string, query_id long")
+    got = {(r.corpus_id, r.query_id): r for r in ranking_metrics(hits, labels, queries, [4], ["semantic"]).collect()}
+    row = got["c", 1]
+    assert row.recall == pytest.approx(2 / 3) and row.reciprocal_rank == 0.5
+    assert row.average_precision == pytest.approx((1 / 2 + 2 / 4) / 3)
+    ideal = 1 + 1 / math.log2(3) + 1 / 2
+    assert row.ndcg == pytest.approx((1 / math.log2(3) + 1 / math.log2(5)) / ideal)
+    for empty in (got["c", 2], got["d", 1]):
+        assert (empty.recall, empty.reciprocal_rank, empty.average_precision, empty.ndcg) == (0, 0, 0, 0)
 
 
 def test_precision_divides_by_k(spark):

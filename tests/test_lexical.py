@@ -66,7 +66,10 @@ def test_floor_is_used_for_frequent_words(spark):
     assert idf["the"] != pytest.approx(math.log(1.5 / 4.5)) and idf["the"] < idf["refund"]
 
 
-def test_too_many_query_terms_take_the_salted_join(spark):
+def test_too_many_query_terms_take_the_salted_join(spark, monkeypatch):
+    import quarry.operators.lexical as module
+
+    monkeypatch.setattr(module, "POSTINGS_PER_TASK", 1)
     d, q = _frames(spark, DOCS, QUERIES)
     lex = lexicon(d)
     salted = _scores(document_scores(lex, q, broadcast_rows=0))

@@ -136,8 +136,26 @@ def test_sums_per_document_need_no_shuffle(index, queries):
     from quarry.sources.store import with_corpus
 
     plan = document_scores(index.lexicon, with_corpus(queries))._jdf.queryExecution().executedPlan().toString()
-    before_join = plan[: plan.index("BroadcastHashJoin")]
-    assert "Exchange" not in before_join and "Bucketed: true" in plan
+    assert "Bucketed: true" in plan and "hashpartitioning(doc_id" not in plan
+    # The scan is asked for the terms, so it can skip what lacks them.
+    assert "PushedFilters: [In(term," in plan
+
+
+def test_more_queries_than_a_pass_takes(spark, index, queries, monkeypatch):
+    import quarry.plans.search as plans
+
+    expected = {k: _rows(f(index, queries)) for k, f in _searches().items()}
+    monkeypatch.setattr(plans, "QUERIES_PER_PASS", 2)
+    for k, f in _searches().items():
+        assert _rows(f(index, queries)) == expected[k]
+
+
+def _searches():
+    return {
+        "hybrid": lambda i, q: search(i, q, EMBEDDER, top_k=4),
+        "lexical": lambda i, q: lexical_search(i, q, 3),
+        "both": lambda i, q: search_both(i, q, EMBEDDER, cutoffs=[3]).filter("search_type = 'hybrid'"),
+    }
 
 
 def test_hits_with_documents(spark, reviews):
@@ -153,8 +171,9 @@ def test_hits_with_documents(spark, reviews):
 
 def test_counts_reports_and_checks(spark, index, queries, reviews):
     counts = hits_per_query(search(index, queries, EMBEDDER, min_score=0.99), queries)
+    assert {r.corpus_id for r in counts.collect()} == {"all"}
     assert {r.query_id: r.total_results for r in counts.collect()}[3] == 0
-    report = index_report(index.documents, index.settings).first()
+    report = index_report(index).first()
     assert (report.total_documents, report.embedding_dimension, report.bm25_available) == (20, 32, True)
     norms = norm_report(index.documents).first()
     assert norms.min_norm == pytest.approx(1, abs=1e-6) and norms.max_norm == pytest.approx(1, abs=1e-6)

@@ -36,10 +36,21 @@ def test_equals_brute_force(spark, k):
     assert _found(nearest(index, queries, k)) == _brute_force(index, queries, k)
 
 
-def test_large_query_sets_take_the_grid_and_agree(spark):
+def test_large_query_sets_take_passes_and_agree(spark):
     index, queries = _random(spark, 200, 23, ("a", "b"))
-    grid = nearest(index, queries, 4, queries_per_pass=5, documents_per_cell=60)
-    assert _found(grid) == _found(nearest(index, queries, 4))
+    passes = nearest(index, queries, 4, queries_per_pass=9)
+    assert _found(passes) == _found(nearest(index, queries, 4))
+
+
+def test_vectors_are_never_shuffled(spark, tmp_path):
+    """Nor copied, with more queries than one pass takes."""
+    path = str(tmp_path / "i")
+    _random(spark, 50, 1)[0].write.parquet(path)
+    index, (_, queries) = spark.read.parquet(path), _random(spark, 1, 4097)
+    plan = nearest(index, queries.limit(4096), 2)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert "Exchange" not in below and "Generate" not in below
+    assert nearest(index, queries, 2).count() == 2 * 4097
 
 
 def test_copies_are_ranked_by_id(spark):
