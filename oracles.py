@@ -123,7 +123,7 @@ def hybrid(k: int, name: str = "hybrid", pairs: str = "pairs", weight: float = 0
     return f"""{ranked(name + "_candidates", pairs, 3 * k)},
 {name}_scored AS (
   SELECT corpus_id, query_id, doc_id,
-         round({1 - weight}::DOUBLE * score + {weight}::DOUBLE * coalesce(bm25, 0)
+         round({round(1 - weight, 9)}::DOUBLE * score + {weight}::DOUBLE * coalesce(bm25, 0)
                / CASE WHEN best > 0 THEN best ELSE 1 END, 9) AS score
   FROM {name}_candidates LEFT JOIN bm25 USING (corpus_id, query_id, doc_id)
        LEFT JOIN (SELECT corpus_id, query_id, max(bm25) AS best FROM bm25 GROUP BY ALL)
@@ -345,7 +345,7 @@ FROM (SELECT *, max(bm25) OVER (PARTITION BY query_id) AS best FROM bm25)""",
     "hybrid_topk": query(*SEARCH_BOTH, hybrid(10), hits("hybrid")),
     "incremental_hybrid": query(*SEARCH_BOTH, hybrid(10), hits("hybrid")),
     "stream_hybrid": query(*SEARCH_BOTH, hybrid(10), hits("hybrid")),
-    "stored_settings_hybrid": query(*SEARCH_BOTH, hybrid(10, weight=0.5), hits("hybrid")),
+    "stored_settings_hybrid": query(*SEARCH_BOTH, hybrid(10, weight=0.6), hits("hybrid")),
     "filtered_search": query(
         *SEARCH_BOTH,
         """some_pairs AS (

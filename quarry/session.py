@@ -18,6 +18,7 @@ BROADCAST_ROWS = 500_000
 
 _local_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
+_made: dict[str, list[str]] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -50,7 +51,22 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the scratch folder; ``clear_scratch`` removes what was written there."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the folders that this application named with ``fresh_path``, its scratch indexes among them.
+
+    For the end of a job: results that were not yet written elsewhere go too. Returns the number of folders.
+    """
+    removed = 0
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        removed += place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return removed
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

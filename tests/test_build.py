@@ -279,5 +279,16 @@ def test_database_options():
     assert scan["numPartitions"] == "8" and scan["partitionColumn"] == '"Id"' and scan["fetchsize"] == "500"
 
 
+def test_scratch_is_removed_on_request(spark, monkeypatch):
+    import quarry.session as session
+
+    monkeypatch.setattr(session, "_made", {})
+    kept = session.materialise(_docs(spark, range(3)), "t")
+    assert kept.count() == 3 and session.clear_scratch(spark) == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0])
+    assert session.clear_scratch(spark) == 0
+
+
 def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
