@@ -30,3 +30,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Rows of a few numbers, or one word, up to which a side may be broadcast: some tens of megabytes at most.
+BROADCAST_ROWS = 200_000
+
+
+def small(saved_table: DataFrame) -> DataFrame:
+    """A saved table with a broadcast hint if it has few enough rows, else as it is, for a shuffle join."""
+    return F.broadcast(saved_table) if saved_table.count() <= BROADCAST_ROWS else saved_table

@@ -15,13 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, saved, text_of
+from quarry.llm.common import ascii_lower, saved, small, text_of
 
 WINDOW = 10
 # Fixed value: what separates words.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# Rows of a few numbers, or one word, up to which a side may be broadcast.
-BROADCAST_ROWS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -29,11 +27,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), BETWEEN_WORDS), "")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A saved table with a broadcast hint if it is small enough, else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["h"] == right["h"])
 
@@ -56,7 +49,7 @@ def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str =
 
 def term_counts(rows: DataFrame, items: DataFrame) -> DataFrame:
     """``term, n``: how often the corpus has each word of the items; those that it lacks are missing."""
-    terms = _small(saved(items.select(F.explode("words").alias("term")).distinct(), "terms"))
+    terms = small(saved(items.select(F.explode("words").alias("term")).distinct(), "terms"))
     found = rows.select(F.explode(words_of(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
     return found.groupBy("term").agg(F.count("*").alias("n"))
 
@@ -67,7 +60,7 @@ def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFr
     A window with a word that the corpus lacks occurs nowhere and is left out. A window of one word has no second place.
     """
     places = items.select("item", F.posexplode("words").alias("at", "term"), F.size("words").alias("size"))
-    ranked = places.join(_small(counts), "term", "left")
+    ranked = places.join(small(counts), "term", "left")
     starts = F.sequence(
         F.greatest(F.lit(0), F.col("at") - window + 1),
         F.greatest(F.lit(0), F.least(F.col("at"), F.col("size") - window)),
@@ -93,7 +86,7 @@ def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFr
 def build_index(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings ``term, doc_id, h, pos`` of the given terms, saved."""
     words = rows.select("doc_id", "h", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    return saved(words.join(_small(terms), "term", "left_semi"), "postings")
+    return saved(words.join(small(terms), "term", "left_semi"), "postings")
 
 
 def alignments(index: DataFrame, picked: DataFrame, slop: int = 0) -> DataFrame:
@@ -101,7 +94,7 @@ def alignments(index: DataFrame, picked: DataFrame, slop: int = 0) -> DataFrame:
 
     With ``slop``, they may miss each other by that many words.
     """
-    first = index.join(_small(picked), "term").select(
+    first = index.join(small(picked), "term").select(
         "doc_id",
         "h",
         "item",
@@ -141,7 +134,7 @@ def exact_runs(rows: DataFrame, items: DataFrame, found: DataFrame, window: int
         found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("item", "size", "shift")).alias("found")),
         "alignments",
     )
-    beside = rows.join(_small(per_document), _same_document(rows, per_document)).select(
+    beside = rows.join(small(per_document), _same_document(rows, per_document)).select(
         rows["doc_id"], rows["h"], words_of(F.col("text")).alias("w"), "found"
     )
 
@@ -154,7 +147,7 @@ def exact_runs(rows: DataFrame, items: DataFrame, found: DataFrame, window: int
 
     # The stretches are cut before the rows multiply, so that whole texts do not.
     stretches = beside.select("doc_id", "h", F.explode(F.transform("found", stretch)).alias("c"))
-    together = stretches.select("doc_id", "h", "c.*").join(_small(items), "item")
+    together = stretches.select("doc_id", "h", "c.*").join(small(items), "item")
     # Item word p lies at w[p - skipped].
     skipped = F.greatest(-F.col("shift"), F.lit(0))
     n = F.least(F.size("w"), F.size("words") - skipped)
@@ -215,7 +208,7 @@ def proximity_matches(
     counts = saved(term_counts(rows, items), "counts")
     picked = saved(anchors(items, counts, window), "anchors")
     asked = picked.select("term").union(picked.filter("term2 is not null").select("term2")).distinct()
-    near = alignments(build_index(rows, saved(asked, "asked")), picked, slop).join(_small(items), "item")
+    near = alignments(build_index(rows, saved(asked, "asked")), picked, slop).join(small(items), "item")
     return near.select(F.col("doc_id").alias(doc_id), "item_id", "shift").distinct()
 
 
@@ -254,7 +247,7 @@ def contamination(
     )
     hits = saved(hits, "hits")
     sizes = rows.select("doc_id", "h", F.size(words_of(F.col("text"))).alias("n_words"))
-    joined = sizes.join(_small(hits), _same_document(sizes, hits), "left")
+    joined = sizes.join(small(hits), _same_document(sizes, hits), "left")
     return joined.select(
         sizes["doc_id"].alias(doc_id),
         F.col("n_words").cast("long").alias("n_words"),
@@ -272,7 +265,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
     bad = saved(runs.select("doc_id", "h").distinct(), "contaminated").toDF("__bad_id", "__bad_hash")
     tagged = docs.withColumn("__text_hash", F.xxhash64(text_of(text)))
     clean = tagged.join(
-        _small(bad),
+        small(bad),
         tagged[doc_id].eqNullSafe(bad["__bad_id"]) & (tagged["__text_hash"] == bad["__bad_hash"]),
         "left_anti",
     )

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import saved, text_of
+from quarry.llm.common import saved, small, text_of
 from quarry.llm.components import connected_components
 
 TREES, PREFIX, DEEP = 16, 4, 4
@@ -37,8 +37,6 @@ LOOKS_ALIKE = 0.6
 REGION = 1024
 # What one task compares at once: nodes, and shingles of all of them.
 BLOCK_NODES, BLOCK_SHINGLES = 4096, 6_000_000
-# Rows of some tens of bytes up to which a side may be broadcast.
-BROADCAST_ROWS = 200_000
 
 _random = np.random.default_rng(20)
 MULTIPLIERS = _random.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -272,10 +270,6 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def confirmed_links(
     docs: DataFrame,
     nodes: DataFrame,
@@ -302,7 +296,8 @@ def confirmed_links(
         blocks = blocks.union(parts.select(F.col("region").alias("block"), "node"))
     placed = saved(blocks.join(grouped.select("node", "first_id"), "node"), "blocks")
     rows = docs.select(F.col(doc_id).cast("long").alias("first_id"), text_of(text).alias("text"))
-    texts = rows.join(_small(placed.select("first_id", "block", "node")), "first_id").select("block", "node", "text")
+    placed = placed.select("first_id", "block", "node")
+    texts = rows.join(small(placed), "first_id").select("block", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,7 +409,7 @@ def drop_near_copies(
     def met(other: DataFrame):
         return tagged[doc_id].eqNullSafe(other["__near_id"]) & (tagged["__near_text"] == other["__near_hash"])
 
-    left = tagged.join(_small(going), met(going), "left_anti")
+    left = tagged.join(small(going), met(going), "left_anti")
     columns = [f"`{c}`" for c in docs.columns]
     repeated = saved(
         filled.groupBy("root", "place").count().join(chosen, "root").filter("place = first and count > 1").select(
@@ -425,6 +420,6 @@ def drop_near_copies(
     if repeated.isEmpty():
         return left.select(*columns)
     # Rows alike in id and text: one of them stays.
-    once = left.join(_small(repeated), met(repeated), "left_anti")
-    many = left.join(_small(repeated), met(repeated), "left_semi").dropDuplicates([doc_id, "__near_text"])
+    once = left.join(small(repeated), met(repeated), "left_anti")
+    many = left.join(small(repeated), met(repeated), "left_semi").dropDuplicates([doc_id, "__near_text"])
     return once.unionByName(many).select(*columns)

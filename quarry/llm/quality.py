@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_of
+from quarry.llm.common import saved, text_of
 from quarry.llm.memory import Memory, worker_state
 
 WORDS, SHAPES, DIM, NONZERO = 1 << 14, 1 << 10, 16, 4
@@ -277,17 +277,29 @@ def held_out_row(doc_id: str):
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of ``rows``: those in the first shares of 65,536 by hash of the id. Only counts come to the driver."""
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16))
+    counts = sorted(rows.groupBy(share.alias("share")).count().collect())
+    total = 0
+    for first_out, n in counts:
+        total += n
+        if total > most:
+            return rows.filter(share < first_out)
+    return rows
+
+
 def fit_quality(
     docs: DataFrame, labels: DataFrame, vectors: np.ndarray, doc_id: str = "doc_id", text: str = "text", label: str = "quality"
 ) -> Network:
-    """Train on labelled documents that are not held out, at most ``TRAIN_ROWS`` by hash of their id."""
+    """Train on labelled documents that are not held out, at most ``TRAIN_ROWS`` of them."""
     known = (
         labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .filter("doc_id is not null and label in (0, 1)")
         .filter(~held_out_row("doc_id"))
         .dropDuplicates(["doc_id"])
     )
-    sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS))
+    sample = F.broadcast(_sample(saved(known, "labels"), TRAIN_ROWS))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).join(sample, "doc_id")
     rows = rows.select("doc_id", "label", "text")
 

@@ -183,3 +183,12 @@ def test_quality(spark):
 
 def test_training_with_one_label():
     assert train(np.ones((30, 4)), np.ones(30)).scores(np.ones((1, 4)))[0] > 0.99
+
+
+def test_the_label_sample_is_bounded(spark):
+    from quarry.llm.quality import _sample
+
+    rows = spark.range(1000).withColumnRenamed("id", "doc_id")
+    assert 200 < _sample(rows, 300).count() <= 300
+    assert _sample(rows, 300).exceptAll(_sample(rows, 301)).count() == 0
+    assert _sample(rows, 1000).count() == 1000
