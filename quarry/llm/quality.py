@@ -13,10 +13,9 @@ at most ``TRAIN_ROWS`` labelled rows; scoring runs where the documents are.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import saved, text_of
-from quarry.llm.memory import Memory, worker_state
 
 WORDS, SHAPES, DIM, NONZERO = 1 << 14, 1 << 10, 16, 4
 REACH = 2
@@ -34,10 +32,10 @@ STRETCH = 64
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 100, 256, 3e-3, 1e-4, 7
 FEATURES = 6 * DIM + 2
-# Bounds of the memory of one worker.
-BLOCK_CHARS, REMEMBERED, LONGEST = 1 << 20, 300_000, 48
-
-_PART = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
+# What is worked on at once: characters of texts, and bytes.
+BLOCK_CHARS, SLICE = 1 << 20, 1 << 20
+# Odd, for the polynomial hash of words.
+BASE = 0x5851F42D4C957F2D
 
 
 def index_vectors(rows: int, seed: int) -> np.ndarray:
@@ -52,60 +50,95 @@ def index_vectors(rows: int, seed: int) -> np.ndarray:
 WORD_INDEX, SHAPE_INDEX = index_vectors(WORDS, 1), index_vectors(SHAPES, 2)
 
 
-def shape_row(part: str) -> int:
-    """Case of a word, digits, or the first of the marks, each with the length up to three."""
-    size = min(len(part), 3)
-    if part[0].isalpha():
-        return size + 4 * (0 if part.islower() else 1 if part.isupper() else 2 if part.istitle() else 3)
-    if part[0].isdigit():
-        return size + 16
-    return 20 + (4 * ord(part[0]) + size) % (SHAPES - 20)
+def _slices(data: np.ndarray, space: np.ndarray) -> Iterator[slice]:
+    """Stretches of some ``SLICE`` bytes that end at white space; longer only where a word is."""
+    begin = 0
+    while begin < len(data):
+        end = min(begin + SLICE, len(data))
+        if end < len(data):
+            back = np.flatnonzero(space[begin:end])
+            ahead = np.flatnonzero(space[end:]) if not len(back) else back
+            end = begin + int(back[-1]) + 1 if len(back) else end + int(ahead[0]) + 1 if len(ahead) else len(data)
+        yield slice(begin, end)
+        begin = end
+
+
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2 ** 64, and their inverses."""
+    base, inverse = np.uint64(BASE), np.uint64(pow(BASE, -1, 2**64))
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x)])) for x in (base, inverse))
 
 
-def packed_parts(chunk: str) -> bytes:
-    """Word row and shape row of each part of a chunk between white space, as one number each."""
-    parts = (chunk,) if chunk.isalpha() else _PART.findall(chunk)
-    rows = [(zlib.crc32(p.encode()) % WORDS * SHAPES + shape_row(p)).to_bytes(4, "little") for p in parts]
-    return b"".join(rows)
+def _sums(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum of the values of each word."""
+    total = np.zeros(len(values) + 1, dtype=values.dtype if values.dtype == np.uint64 else np.int64)
+    np.cumsum(values, out=total[1:])
+    return total[ends] - total[begins]
 
 
-class Tokens:
-    """Turns texts into numbers, ``word row * SHAPES + shape row`` for each part of a word."""
+def _words(data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and row pair of each word of a stretch of bytes.
 
-    def __init__(self):
-        self.memory = Memory(REMEMBERED, LONGEST)
+    A word's row comes from a polynomial hash of its bytes, its shape from letter case and the mark at its end.
+    """
+    bounds = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
+    begins, ends = bounds[::2], bounds[1::2]
+    up, down = _powers(max(len(data), SLICE))
+    with np.errstate(over="ignore"):
+        hashed = _sums((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], begins, ends) * down[begins]
+        hashed = (hashed ^ hashed >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    upper = (data >= 65) & (data <= 90)
+    n_upper = _sums(upper, begins, ends)
+    n_lower = _sums((data >= 97) & (data <= 122), begins, ends)
+    kind = np.select(
+        [n_upper + n_lower == 0, n_upper == 0, (n_upper == 1) & upper[begins], n_lower == 0], [0, 1, 2, 3], 4
+    )
+    last = data[ends - 1]
+    plain = (last >= 128) | (last >= 48) & (last <= 57) | ((last | 32) >= 97) & ((last | 32) <= 122)
+    shapes = kind * 128 + np.where(plain, 0, last & 127)
+    rows = (hashed >> np.uint64(40)).astype(np.int64) % WORDS
+    return begins, (rows * SHAPES + shapes).astype(np.int32)
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [text.split() for text in texts]
-        missing = self.memory.missing(set().union(*split))
-        self.memory.learn(missing, map(packed_parts, missing))
-        get = self.memory.young.__getitem__
-        found = [np.frombuffer(b"".join(map(get, chunks)), dtype="<i4") for chunks in split]
-        self.memory.tidy()
-        return found
 
+def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``word row * SHAPES + shape row`` of every word of all texts, and the number of words of each text.
 
-def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    Words are what ASCII white space leaves.
+    """
+    encoded = [text.encode() for text in texts]
+    data = np.frombuffer(b"\n".join(encoded), dtype=np.uint8)
+    space = (data == 32) | (data >= 9) & (data <= 13)
+    places, ids = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+    for part in _slices(data, space):
+        begins, rows = _words(data[part], space[part])
+        places.append(begins + part.start)
+        ids.append(rows)
+    ends = np.cumsum([len(text) + 1 for text in encoded])
+    counts = np.diff(np.searchsorted(np.concatenate(places), ends), prepend=0)
+    return np.concatenate(ids), counts
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, tuple]]:
     """Slices of batches with the tokens of their texts, cut by length."""
-    tokens = worker_state("quality", Tokens)
     for batch in batches:
         begin, held, size = 0, [], 0
         for k, text in enumerate(batch.column(column)):
             held.append(text.as_py())
             size += len(held[-1])
             if size >= BLOCK_CHARS:
-                yield batch.slice(begin, k + 1 - begin), tokens(held)
+                yield batch.slice(begin, k + 1 - begin), tokens_of(held)
                 begin, held, size = k + 1, [], 0
         if held:
-            yield batch.slice(begin), tokens(held)
+            yield batch.slice(begin), tokens_of(held)
 
 
-def neighbour_sums(tokens: list[np.ndarray], into: np.ndarray) -> None:
+def neighbour_sums(ids: np.ndarray, sizes: np.ndarray, into: np.ndarray) -> None:
     """Add the index vectors of each word's neighbours in its own document to the word's row."""
-    ids = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int32)
     if not len(ids):
         return
-    document = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    document = np.repeat(np.arange(len(sizes)), sizes)
     words = ids // SHAPES
     index = WORD_INDEX[words] + SHAPE_INDEX[ids % SHAPES]
     around = np.zeros_like(index)
@@ -123,7 +156,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((WORDS, DIM), dtype=np.int64)
         for _, tokens in _blocks(batches, 0):
-            neighbour_sums(tokens, sums)
+            neighbour_sums(*tokens, sums)
         rows = np.flatnonzero(sums.any(axis=1))
         vectors = [sums[k].tobytes() for k in rows]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(vectors, pa.binary())], ["row", "sums"])
@@ -151,14 +184,12 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.divide(table, norms, out=np.zeros_like(table), where=norms > 0).astype(np.float32)
 
 
-def pooled(tokens: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
+def pooled(ids: np.ndarray, sizes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """``FEATURES`` numbers for each document; zeros for one without words."""
-    result = np.zeros((len(tokens), FEATURES), dtype=np.float32)
-    sizes = np.array([len(t) for t in tokens])
+    result = np.zeros((len(sizes), FEATURES), dtype=np.float32)
     filled = np.flatnonzero(sizes)
     if not len(filled):
         return result
-    ids = np.concatenate([tokens[k] for k in filled])
     sizes = sizes[filled]
     begins = np.cumsum(sizes) - sizes
     words = ids // SHAPES
@@ -265,7 +296,7 @@ def _features(docs: DataFrame, vectors: np.ndarray, finish, schema: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, tokens in _blocks(batches, at):
-            last = finish(pooled(tokens, shared.value))
+            last = finish(pooled(*tokens, shared.value))
             names = [*rows.schema.names[:at], "out"]
             yield pa.RecordBatch.from_arrays([*rows.columns[:at], last], names=names)
 
@@ -361,7 +392,7 @@ def drop_rejected(
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             rows = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-            found = [scored(pooled(tokens, shared.value)).to_numpy() for _, tokens in _blocks([rows], 0)]
+            found = [scored(pooled(*tokens, shared.value)).to_numpy() for _, tokens in _blocks([rows], 0)]
             yield pd.Series(np.concatenate(found) if found else np.zeros(0))
 
     return docs.filter(score(text_of(text)) >= threshold)

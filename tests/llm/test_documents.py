@@ -192,3 +192,18 @@ def test_the_label_sample_is_bounded(spark):
     assert 200 < _sample(rows, 300).count() <= 300
     assert _sample(rows, 300).exceptAll(_sample(rows, 301)).count() == 0
     assert _sample(rows, 1000).count() == 1000
+
+
+def test_words_of_a_block_are_those_of_its_texts(monkeypatch):
+    from quarry.llm import quality
+
+    texts = ["", "a b  c", "x" * 100 + " yy " + "z" * 40, "\n \t", "É é!", "THE!!  tail ", "a"]
+    whole, counts = quality.tokens_of(texts)
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    assert whole[0] == whole[-1] and len(set(whole.tolist())) == 10
+    monkeypatch.setattr(quality, "SLICE", 16)
+    quality._powers.cache_clear()
+    in_slices, again = quality.tokens_of(texts)
+    quality._powers.cache_clear()
+    assert (in_slices == whole).all() and (again == counts).all()
+    assert len(quality.tokens_of([])[0]) == 0
