@@ -8,6 +8,7 @@ contraction), the piece goes on to the next white space; texts with white space
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -21,12 +22,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 WHITE = " \t\n\r\x0b\x0c"
 PLAIN = "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
 MARK = r"[!-/:-@\[-`{-~]"
-PIECE = re.compile(
-    rf"[{WHITE}]*+(?:"
-    rf"{PLAIN}++(?:'{PLAIN}++)*+(?=[{WHITE}]|{MARK}|\Z)"
+INK = (
+    rf"(?:{PLAIN}++(?:'{PLAIN}++)*+(?=[{WHITE}]|{MARK}|\Z)"
     rf"|(?!'{PLAIN}){MARK}++(?=[{WHITE}]|{PLAIN}|\Z)"
     rf"|[^{WHITE}]+)"
 )
+PIECE = re.compile(rf"[{WHITE}]*+{INK}")
+# For tokenizers that make nothing of white space.
+BARE_PIECE = re.compile(INK)
 # White space of Unicode and control characters that only some libraries count as white space.
 OTHER_WHITE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 # Bounds of the memory of one worker, not of the input: pieces remembered in each of two generations, the
@@ -48,6 +51,11 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memory = Memory(REMEMBERED, LONGEST)
+        # Fewer pieces are different where white space or the case of A-Z makes no difference.
+        steps = json.loads(file_content)["normalizer"] or {}
+        steps = steps.get("normalizers", [steps])
+        self.lower = any(step.get("type") == "Lowercase" for step in steps)
+        self.white_counts = bool(self._encode([WHITE])[0])
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
@@ -56,10 +64,13 @@ class PieceEncoder:
         ends = (4 * np.searchsorted(owners, np.arange(len(pieces) + 1))).tolist()
         return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
+    def _pieces(self, text: str) -> list[str]:
         if OTHER_WHITE.search(text):
             return [text]
+        if self.lower:
+            text = text.encode().lower().decode()
+        if not self.white_counts:
+            return BARE_PIECE.findall(text)
         pieces = PIECE.findall(text)
         tail = text[len(text.rstrip(WHITE)) :]
         if tail:
