@@ -34,7 +34,7 @@ BARE_PIECE = re.compile(INK)
 OTHER_WHITE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 # Bounds of the memory of one worker, not of the input: pieces remembered in each of two generations, the
 # longest of them, and characters that are worked on at once.
-REMEMBERED, LONGEST, BLOCK_CHARS = 600_000, 48, 1 << 21
+REMEMBERED, LONGEST, BLOCK_CHARS = 400_000, 48, 1 << 21
 
 
 class PieceEncoder:
