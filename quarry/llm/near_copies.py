@@ -11,9 +11,12 @@
 4. The texts of these components come together, and the exact similarity of full sets decides. A component is searched from node
    to node, each compared with those not reached yet. A component too large for one task is taken apart along each of the 16
    orders again, and the links that are found in the parts are joined.
+5. Where such a component is in several classes after that, what the parts have missed is looked for without chance: two sets
+   as similar as asked share one of their rarest shingles. Sets that share one meet in one task; those that share one with more
+   sets than a task may hold are dealt into tiles by size, and every pair of tiles of like size meets in a task.
 
-So copies never become pairs, no task holds more than ``BLOCK_NODES`` nodes, and nothing but names of files passes
-through the driver.
+So copies never become pairs, no task compares more than ``BLOCK_NODES`` nodes, and nothing but names of files and a table of
+counts of fixed size passes through the driver.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ LOOKS_ALIKE = 0.6
 REGION = 1024
 # What one task compares at once: nodes, and shingles of all of them.
 BLOCK_NODES, BLOCK_SHINGLES = 4096, 6_000_000
+# Cells in which shingles are counted to tell the rare ones.
+CELLS = 2**18
 
 _random = np.random.default_rng(20)
 MULTIPLIERS = _random.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -238,8 +243,11 @@ def candidate_links(nodes: DataFrame, region: int = REGION) -> DataFrame:
     return together.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A tree of links for each component of the sets, where 100 * common >= percent * united."""
+def exact_links(sets: list[np.ndarray], percent: int, classes: list[bytes] | None = None) -> list[tuple[int, int]]:
+    """A tree of links for each component of the sets, where 100 * common >= percent * united.
+
+    Sets of one of the ``classes`` are linked already: they are not compared, and no links between them are returned.
+    """
     sizes = np.array([len(s) for s in sets])
     whole, ids = np.unique(np.concatenate(sets), return_inverse=True)
     begins = np.cumsum(sizes) - sizes
@@ -248,10 +256,18 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     lists = [ids[b : b + n] for b, n in zip(begins, sizes)]
     links: list[tuple[int, int]] = []
     reached: list[int] = []
+    kinds = np.arange(len(sets)) if classes is None else np.unique(np.array(classes, dtype=object), return_inverse=True)[1]
+
+    def reach(found: np.ndarray) -> None:
+        nonlocal rest
+        mates = np.isin(kinds[rest], kinds[found])
+        reached.extend(rest[mates].tolist())
+        rest = rest[~mates]
+
     while len(rest):
         if not reached:
-            reached.append(int(rest[0]))
-            rest = rest[1:]
+            reach(rest[:1])
+            continue
         node = reached.pop()
         # Only sets of like size can be as similar as that.
         fit = rest[(100 * sizes[rest] >= percent * sizes[node]) & (percent * sizes[rest] <= 100 * sizes[node])]
@@ -265,11 +281,151 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         near = fit[100 * common >= percent * (sizes[node] + sizes[fit] - common)]
         if len(near):
             links += [(node, int(k)) for k in near]
-            reached.extend(near.tolist())
-            rest = rest[~np.isin(rest, near)]
+            reach(near)
     return links
 
 
+def _texts(docs: DataFrame, placed: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``placed(first_id, h, …)``, a saved table, with the texts of these rows; ids may be null."""
+    whole = text_of(text)
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(whole).alias("hash"), whole.alias("text"))
+    placed = small(placed)
+    return rows.join(placed, rows["id"].eqNullSafe(placed["first_id"]) & (rows["hash"] == placed["h"])).drop("id", "hash")
+
+
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(20)).astype(np.int64) % CELLS
+
+
+def _counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets lie in each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            for value in batch.column(0):
+                counts += np.bincount(_cells(np.frombuffer(value.as_py(), dtype=np.uint64)), minlength=CELLS)
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], names=["cell", "n"])
+
+    whole = np.zeros(CELLS, dtype=np.int64)
+    summed = sets.select("set").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    whole[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    return whole
+
+
+def rarest(shingles: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
+    """So many of the rarest shingles that any set as similar as ``percent`` has one of them among its own rarest."""
+    n = len(shingles)
+    size = n + percent * n // -100 + 1
+    return shingles[np.lexsort((shingles, counts[_cells(shingles)]))[:size]]
+
+
+def _tiles(nodes: DataFrame, limit: int, shingles: int) -> DataFrame:
+    """``root, class, node, n_shingles, tile``: nodes of a root by size, at most ``limit`` and ``shingles`` in a tile."""
+    columns = ["root", "class", "node", "n_shingles"]
+    ordered = nodes.select(*columns).repartitionByRange("root", "n_shingles", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, tile, count, total = None, None, 0, 0
+        for batch in batches:
+            tiles = []
+            for root, _, node, n in zip(*[column.to_pylist() for column in batch.columns]):
+                if root != current or count + 1 > limit or total + n > shingles:
+                    current, tile, count, total = root, node, 0, 0
+                count, total = count + 1, total + n
+                tiles.append(tile)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tiles, pa.binary())], names=[*columns, "tile"])
+
+    sorted_rows = ordered.sortWithinPartitions("root", "n_shingles", "node")
+    return sorted_rows.mapInArrow(run, "root binary, class binary, node binary, n_shingles long, tile binary")
+
+
+def missed_links(
+    docs: DataFrame,
+    apart: DataFrame,
+    words: int,
+    percent: int,
+    doc_id: str,
+    text: str,
+    block_nodes: int,
+    block_shingles: int,
+) -> DataFrame:
+    """``a, b``: exact links that connect the classes of a root, for ``apart(root, class, node, first_id, h, n_shingles)``."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, sets = [], []
+            for k, (node, value) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4))):
+                shingles = shingle_set(value.as_py(), words)
+                if len(shingles) and set_digest(shingles) == node:
+                    kept.append(k)
+                    sets.append(shingles.tobytes())
+            taken = batch.take(pa.array(kept, pa.int32()))
+            columns = [*taken.columns[:4], pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["root", "class", "node", "n_shingles", "set"])
+
+    texts = _texts(docs, apart, doc_id, text).select("root", "class", "node", "n_shingles", "text")
+    found = texts.mapInArrow(own, "root binary, class binary, node binary, n_shingles long, set binary")
+    sets = saved(found.dropDuplicates(["node"]), "sets")
+    counts = _counts(sets)
+
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                least = rarest(np.frombuffer(batch.column(4)[k].as_py(), dtype=np.uint64), percent, counts)
+                same = batch.slice(k, 1).take(pa.array(np.zeros(len(least), dtype=np.int32)))
+                columns = [*same.columns[:4], pa.array(least.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["root", "class", "node", "n_shingles", "token"])
+
+    schema = "root binary, class binary, node binary, n_shingles long, token long"
+    tokens = saved(sets.mapInArrow(tokens_of, schema), "tokens")
+    met = tokens.groupBy("root", "token").agg(
+        F.count("*").alias("n"),
+        F.sum("n_shingles").alias("s"),
+        F.min("class").alias("c"),
+        F.max("class").alias("d"),
+        F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"),
+    )
+    met = saved(met.filter("c <> d").withColumn("hot", (F.col("n") > block_nodes) | (F.col("s") > block_shingles)), "met")
+    # Shingles that the same nodes share say the same.
+    few = saved(met.filter("not hot").groupBy("root", "n", "x", "y").agg(F.min("token").alias("token")), "few")
+    blocks = tokens.join(small(few.select("root", "token")), ["root", "token"]).select(
+        F.concat_ws("/", F.hex("root"), F.col("token").cast("string")).alias("block"), "node"
+    )
+    hot = saved(met.filter("hot").select("root", "token"), "hot")
+    if not hot.isEmpty():
+        many = tokens.join(small(hot), ["root", "token"]).select("root", "class", "node", "n_shingles").distinct()
+        tiles = saved(_tiles(many, max(1, block_nodes // 2), block_shingles // 2), "tiles")
+        ranges = tiles.groupBy("root", "tile").agg(
+            F.min("n_shingles").alias("least"),
+            F.max("n_shingles").alias("most"),
+            F.min("class").alias("c"),
+            F.max("class").alias("d"),
+        )
+        ranges = saved(ranges, "ranges")
+        like = (
+            "a.root = b.root and a.tile <= b.tile and least(a.c, b.c) <> greatest(a.d, b.d)"
+            f" and 100 * a.most >= {percent} * b.least and 100 * b.most >= {percent} * a.least"
+        )
+        pairs = ranges.alias("a").join(ranges.alias("b"), F.expr(like)).select(
+            F.concat_ws("/", F.hex("a.tile"), F.hex("b.tile")).alias("block"),
+            F.explode(F.array_distinct(F.array("a.tile", "b.tile"))).alias("tile"),
+        )
+        blocks = blocks.union(pairs.join(tiles.select("tile", "node"), "tile").select("block", "node"))
+    together = blocks.join(sets.select("node", "class", "set"), "node").select("block", "node", "class", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(classes: list[bytes], sets: list[bytes]) -> list[tuple[int, int]]:
+            return exact_links([np.frombuffer(s, dtype=np.uint64) for s in sets], percent, classes)
+
+        yield from _edges(batches, links)
+
+    together = together.repartition("block").sortWithinPartitions("block", "node")
+    return together.mapInArrow(run, "a binary, b binary").distinct()
+
+
 def confirmed_links(
     docs: DataFrame,
     nodes: DataFrame,
@@ -282,22 +438,21 @@ def confirmed_links(
     block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """``a, b``: exact links that connect what is linked within ``groups(node, root)``."""
-    grouped = saved(groups.join(nodes, "node").select("root", "node", "first_id", "n_shingles", "values"), "groups")
+    grouped = saved(groups.join(nodes, "node").select("root", "node", "first_id", "h", "n_shingles", "values"), "groups")
     sizes = grouped.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     fits = (F.col("n") <= block_nodes) & (F.col("s") <= block_shingles)
     sized = grouped.join(saved(sizes.select("root", fits.alias("fits")), "sizes"), "root")
     blocks = sized.filter("fits").select(F.col("root").alias("block"), "node")
-    large = saved(sized.filter(~F.col("fits")).select("root", "node", "n_shingles", "values"), "large")
-    if not large.isEmpty():
+    large = saved(sized.filter(~F.col("fits")).select(*grouped.columns), "large")
+    cut = not large.isEmpty()
+    if cut:
         # Long documents make smaller parts.
         longest = large.agg(F.max("n_shingles")).first()[0]
         limit = max(2, min(block_nodes, block_shingles // longest))
         parts = regions(forest(large, "root"), limit, "root")
         blocks = blocks.union(parts.select(F.col("region").alias("block"), "node"))
-    placed = saved(blocks.join(grouped.select("node", "first_id"), "node"), "blocks")
-    rows = docs.select(F.col(doc_id).cast("long").alias("first_id"), text_of(text).alias("text"))
-    placed = placed.select("first_id", "block", "node")
-    texts = rows.join(small(placed), "first_id").select("block", "node", "text")
+    placed = saved(blocks.join(grouped.select("node", "first_id", "h"), "node"), "blocks")
+    texts = _texts(docs, placed.select("first_id", "h", "block", "node"), doc_id, text).select("block", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +479,18 @@ def confirmed_links(
         yield from _edges(own(batches), links)
 
     together = texts.repartition("block").sortWithinPartitions("block", "node")
-    return together.mapInArrow(run, "a binary, b binary").distinct()
+    found = together.mapInArrow(run, "a binary, b binary").distinct()
+    if not cut:
+        return found
+    found = saved(found, "links")
+    classes = connected_components(found).withColumnRenamed("root", "class")
+    large = large.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).drop("values")
+    large = saved(large, "classed")
+    several = large.groupBy("root").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c <> d").select("root")
+    apart = saved(large.join(several, "root", "left_semi"), "apart")
+    if apart.isEmpty():
+        return found
+    return found.union(missed_links(docs, apart, words, percent, doc_id, text, block_nodes, block_shingles))
 
 
 def _classified(
@@ -337,6 +503,7 @@ def _classified(
         .groupBy("node")
         .agg(
             F.min("doc_id").alias("first_id"),
+            F.min_by("h", "doc_id").alias("h"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("values").alias("values"),
         ),

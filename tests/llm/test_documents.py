@@ -100,6 +100,46 @@ def test_exact_links_are_whole():
     assert joined(range(60), near.exact_links(sets, 80)) == joined(range(60), pairs)
 
 
+def template_family(name, members, core, private, seed):
+    """Texts with a similarity below 0.8 by words, but for the pairs (0, 1), (2, 3) and so on of the first 40: these reach it."""
+    chance = random.Random(seed)
+    texts = []
+    for k in range(members):
+        pair = k // 2 if k < 40 else f"alone{k}"
+        own = [f"{name}p{pair}x{j}" for j in range(private)] + [f"{name}u{k}x{j}" for j in range(100 - core - private)]
+        words = [f"{name}c{j}" for j in range(core)] + own
+        chance.shuffle(words)
+        texts.append(" ".join(words))
+    return texts
+
+
+# Of 100 words 87 are common to all: 87 of 113; in a pair 89 of 111.
+@pytest.mark.parametrize("limits", [{"block_nodes": 30}, {"block_shingles": 2500}])
+def test_near_copies_in_a_template_family(spark, limits):
+    rows = list(enumerate(template_family("a", 250, 87, 2, 1)))
+    got = near.near_copies(table(spark, rows), words=1, percent=80, region=60, **limits).collect()
+    assert {r.doc_id: (100, r.doc_id - r.doc_id % 2 if r.doc_id < 40 else r.doc_id) for r in got} == {
+        r.doc_id: (r.n_shingles, r.component_id) for r in got
+    }
+
+
+def test_rarest_shingles_meet():
+    chance = np.random.default_rng(3)
+    for _ in range(200):
+        counts = chance.integers(0, 4, near.CELLS)
+        union = chance.integers(0, 2**63, int(chance.integers(1, 60)), dtype=np.uint64)
+        a, b = (np.unique(union[chance.random(len(union)) < 0.92]) for _ in range(2))
+        common = len(np.intersect1d(a, b))
+        if len(a) and len(b) and 100 * common >= 80 * (len(a) + len(b) - common):
+            assert len(np.intersect1d(near.rarest(a, 80, counts), near.rarest(b, 80, counts)))
+
+
+def test_exact_links_with_classes():
+    sets = [np.arange(k, k + 20, dtype=np.uint64) for k in (0, 1, 2, 50, 51, 0)]
+    links = near.exact_links(sets, 80, [b"x", b"x", b"y", b"z", b"z", b"x"])
+    assert len(links) == 1 and links[0] in [(1, 2), (2, 1), (0, 2), (2, 0), (5, 2), (2, 5)]
+
+
 def test_components(spark):
     chance = random.Random(6)
     pairs = [(k, k + 1) for k in range(60)] + [(chance.randint(100, 300), chance.randint(100, 300)) for _ in range(120)]
