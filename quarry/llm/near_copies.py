@@ -113,11 +113,11 @@ def signatures(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str =
 
 
 def forest(nodes: DataFrame, *more: str) -> DataFrame:
-    """``more, tree, order, node``: the nodes in each tree, ``order`` being the eight values of that tree."""
+    """``more, tree, order, node, n_shingles``: the nodes in each tree, ``order`` being the eight values of that tree."""
     size = 4 * (PREFIX + DEEP)
     trees = F.sequence(F.lit(0), F.lit(TREES - 1))
-    placed = nodes.select(*more, "node", "values", F.explode(trees).alias("tree"))
-    return placed.select(*more, "tree", F.expr(f"substring(values, tree * {size} + 1, {size})").alias("order"), "node")
+    placed = nodes.select(*more, "node", "n_shingles", "values", F.explode(trees).alias("tree"))
+    return placed.select(*more, "tree", F.expr(f"substring(values, tree * {size} + 1, {size})").alias("order"), "node", "n_shingles")
 
 
 def _cut(orders: list[bytes], limit: int) -> int:
@@ -127,43 +127,56 @@ def _cut(orders: list[bytes], limit: int) -> int:
     return limit // 2 + 1 + int(np.argmin(common))
 
 
-def regions(trees: DataFrame, limit: int, *more: str) -> DataFrame:
-    """``region, node``: the parts of each order in which neighbours share the prefix, of at most ``limit`` nodes.
+def regions(trees: DataFrame, limit: int, *more: str, shingles: int | None = None) -> DataFrame:
+    """``region, node``: the parts of each order in which neighbours share the prefix, of at most ``limit`` nodes and, if
+    given, ``shingles`` in all of them.
 
     Regions of one node are left out. Rows are dealt out by range over the whole order, so a dense region may lie in many
     tasks.
     """
     keys = [*more, "tree", "order", "node"]
-    ordered = trees.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    columns = keys if shingles is None else [*keys, "n_shingles"]
+    ordered = trees.select(*columns).repartitionByRange(*keys).sortWithinPartitions(*keys)
     prefix = 4 * PREFIX
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes]] = []
-        current = None
+        held: list[tuple[bytes, bytes, int]] = []
+        current, total = None, 0
 
         def part(size: int) -> tuple[list[bytes], list[bytes]]:
-            names = [node for _, node in held[:size]]
+            nonlocal total
+            names = [node for _, node, _ in held[:size]]
             where = hashlib.blake2b(repr((current, names[0])).encode(), digest_size=16).digest()
+            total -= sum(n for _, _, n in held[:size])
             del held[:size]
             return ([where] * len(names), names) if len(names) > 1 else ([], [])
 
+        def full(more_nodes: int = 0, more_shingles: int = 0) -> bool:
+            return len(held) + more_nodes > limit or shingles is not None and total + more_shingles > shingles
+
         for batch in batches:
             where: list[bytes] = []
             names: list[bytes] = []
-            for *group, order, node in zip(*[column.to_pylist() for column in batch.columns]):
+            rows = [column.to_pylist() for column in batch.columns]
+            if shingles is None:
+                rows.append([0] * batch.num_rows)
+            for *group, order, node, n in zip(*rows):
                 key = (*group, order[:prefix])
                 if key != current:
                     for into, found in zip((where, names), part(len(held)) if held else ([], [])):
                         into.extend(found)
                     current = key
-                held.append((order, node))
-                if len(held) > limit:
-                    size = _cut([order for order, _ in held], limit)
+                held.append((order, node, n))
+                total += n
+                while len(held) > 1 and full():
+                    size = _cut([order for order, *_ in held], len(held) - 1)
                     last = held[size - 1]
                     for into, found in zip((where, names), part(size)):
                         into.extend(found)
                     # The last node begins the next part too, so that the parts hang together.
-                    held.insert(0, last)
+                    if size > 1 and not full(1, last[2]):
+                        held.insert(0, last)
+                        total += last[2]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(where, pa.binary()), pa.array(names, pa.binary())], names=["region", "node"]
             )
@@ -446,10 +459,7 @@ def confirmed_links(
     large = saved(sized.filter(~F.col("fits")).select(*grouped.columns), "large")
     cut = not large.isEmpty()
     if cut:
-        # Long documents make smaller parts.
-        longest = large.agg(F.max("n_shingles")).first()[0]
-        limit = max(2, min(block_nodes, block_shingles // longest))
-        parts = regions(forest(large, "root"), limit, "root")
+        parts = regions(forest(large, "root"), block_nodes, "root", shingles=block_shingles)
         blocks = blocks.union(parts.select(F.col("region").alias("block"), "node"))
     placed = saved(blocks.join(grouped.select("node", "first_id", "h"), "node"), "blocks")
     texts = _texts(docs, placed.select("first_id", "h", "block", "node"), doc_id, text).select("block", "node", "text")

@@ -123,6 +123,17 @@ def test_near_copies_in_a_template_family(spark, limits):
     }
 
 
+def test_parts_are_bounded_each_by_its_own_sum(spark):
+    same = bytes(4 * near.HASHES)
+    rows = [(b"s", b"s%02d" % k, 10, same) for k in range(40)] + [(b"t", b"t%02d" % k, 1000, same) for k in range(8)]
+    trees = near.forest(spark.createDataFrame(rows, "root binary, node binary, n_shingles long, values binary"), "root")
+    found = near.regions(trees.filter("tree = 0").coalesce(1), 40, "root", shingles=3000).collect()
+    parts = by(found, lambda r: bytes(r.region)).values()
+    # Rows dealt out by range may part anywhere; none is cut for the sake of the long ones.
+    assert all(len(part) <= 3 for part in parts if part[0].node.startswith(b"t"))
+    assert max(len(part) for part in parts if part[0].node.startswith(b"s")) > 3
+
+
 def test_rarest_shingles_meet():
     chance = np.random.default_rng(3)
     for _ in range(200):
