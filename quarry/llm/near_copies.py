@@ -512,11 +512,12 @@ def _classified(
         signed.filter("node is not null")
         .groupBy("node")
         .agg(
-            F.min("doc_id").alias("first_id"),
-            F.min_by("h", "doc_id").alias("h"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "h")).alias("first"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("values").alias("values"),
-        ),
+        )
+        .select("node", "first.doc_id", "first.h", "n_shingles", "values")
+        .withColumnRenamed("doc_id", "first_id"),
         "nodes",
     )
     groups = connected_components(candidate_links(nodes, region))

@@ -134,6 +134,15 @@ def test_parts_are_bounded_each_by_its_own_sum(spark):
     assert max(len(part) for part in parts if part[0].node.startswith(b"s")) > 3
 
 
+def test_near_copies_without_ids(spark):
+    text = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(text)), (None, " ".join([*text[:59], "other"])), (None, "a b c d e")]
+    got = near.near_copies(table(spark, [*rows, (7, "f g h i j")]))
+    assert sorted((r.doc_id is None, r.component_id) for r in got.collect() if r.doc_id) == [(False, 7)]
+    left = near.drop_near_copies(table(spark, rows)).collect()
+    assert len(left) == 2 and (None, "a b c d e") in [(r.doc_id, r.text) for r in left]
+
+
 def test_rarest_shingles_meet():
     chance = np.random.default_rng(3)
     for _ in range(200):
