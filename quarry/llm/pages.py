@@ -34,6 +34,7 @@ _MARKUP = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ARTICLE = re.compile(r"<article(?=[\s/>])", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟،।]")
 
 # Kinds of elements.
@@ -45,6 +46,8 @@ BLOCK = frozenset(
     summary table tbody td tfoot th thead tr ul""".split()
 )
 HEADINGS_AND_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote li dd dt td th figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_ONLY = HEADINGS_AND_TEXT | frozenset("caption dl figure header hgroup ol table tbody tfoot thead tr ul".split())
 # A start tag on the left ends an open element on the right.
 ENDS = {
     "li": {"li"},
@@ -71,8 +74,9 @@ ROLES = frozenset(
     """alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar""".split()
 )
 ONLY_SAYS_LAYOUT = frozenset("has with without no".split())
-# Share of the best score that makes a path content, and the weight of paths in article or main.
-THRESHOLD, LANDMARK = 0.35, 100.0
+# Share of the best score that makes a path content, and what lying in article or main adds to a score: it decides only between
+# texts of a few words. It is divided by the number of articles, since many of them are teasers.
+THRESHOLD, LANDMARK = 0.35, 200.0
 KERNEL = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 
 
@@ -198,7 +202,7 @@ def _tag(label: str) -> str:
     return label.split(".", 1)[0]
 
 
-def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
+def path_scores(blocks: list[Block], articles: int = 1) -> dict[tuple[str, ...], float]:
     """Text ratio times punctuation ratio of each path, smoothed along the page."""
     length: dict[tuple, int] = defaultdict(int)
     marks: dict[tuple, int] = defaultdict(int)
@@ -209,13 +213,15 @@ def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
         count[block.path] += 1
     fused = {}
     for path, n in count.items():
-        weight = LANDMARK if any(_tag(label) in ("article", "main") for label in path) else 1.0
-        fused[path] = weight * (length[path] / n) * (1.0 + marks[path] / n)
+        fused[path] = (length[path] / n) * (1.0 + marks[path] / n)
     along = np.array([fused[block.path] for block in blocks])
     smooth = np.convolve(along, KERNEL)[2:-2] / np.convolve(np.ones(len(along)), KERNEL)[2:-2]
     scores: dict[tuple, float] = defaultdict(float)
     for block, near in zip(blocks, smooth):
         scores[block.path] += (fused[block.path] + near) / 2 / count[block.path]
+    for path in scores:
+        if any(_tag(label) in ("article", "main") for label in path):
+            scores[path] += LANDMARK / max(1, articles)
     return dict(scores)
 
 
@@ -223,17 +229,16 @@ def main_blocks(page: str) -> list[str]:
     blocks = blocks_of(page)
     if not blocks:
         return []
-    scores = path_scores(blocks)
+    scores = path_scores(blocks, len(_ARTICLE.findall(page)))
     best = max(scores.values())
     chosen = {path for path, score in scores.items() if score >= THRESHOLD * best}
 
-    def container(path: tuple[str, ...]) -> tuple[str, ...]:
-        for depth, label in enumerate(path):
-            if _tag(label) in ("article", "main"):
-                return path[: depth + 1]
-        return path[:-1]
+    def around(path: tuple[str, ...]) -> set[tuple[str, ...]]:
+        """The element that holds the path, and the innermost article or main."""
+        found = [depth for depth, label in enumerate(path) if _tag(label) in ("article", "main")]
+        return {path[:-1], *(path[: depth + 1] for depth in found[-1:])}
 
-    containers = {container(path) for path in chosen}
+    containers = {c for path in chosen for c in around(path)}
 
     def taken_in(block: Block) -> bool:
         if block.path in chosen:
@@ -242,7 +247,12 @@ def main_blocks(page: str) -> list[str]:
             return False
         for c in containers:
             if block.path[: len(c)] == c:
-                if c and _tag(c[-1]) not in ("html", "body"):
+                kind = _tag(c[-1]) if c else "body"
+                if kind not in ("html", "body", "article", "main"):
+                    return True
+                # In an article or main, what lies in a further container has to reach the threshold itself.
+                below = {_tag(label) for label in block.path[len(c) :]}
+                if kind in ("article", "main") and (below <= TEXT_ONLY or kind == "article" and below & HEADINGS):
                     return True
                 if block.path == c or len(block.path) == len(c) + 1 and _tag(block.path[-1]) in HEADINGS_AND_TEXT:
                     return True

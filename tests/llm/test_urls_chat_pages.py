@@ -117,6 +117,19 @@ PAGES = {
     f"<body><div style='display:none'>hidden words, many.</div>{PARAGRAPH}a < b{PARAGRAPH}<p title=\"a>b\">end.": [CLEAN, "a < b", CLEAN, "end."],
 }
 
+STORY = [f"Paragraph {k} of the story, which is told at length, with commas, stops and marks. " * 5 for k in range(4)]
+STORY = [" ".join(text.split()) for text in STORY]
+TOLD = "".join(f"<p>{text}</p>" for text in STORY)
+TEASER = "<article><h3>Read more</h3><p>A teaser of another page that says a little, and no more than that, to be read.</p></article>"
+
+
+def test_articles_are_weak_evidence():
+    assert main_blocks(f"<body><div class=story>{TOLD}</div><div class=more>{TEASER * 6}</div>") == STORY
+    assert main_blocks(f"<body><main><div class=story>{TOLD}</div><div class=x><p>Short note.</p></div></main>") == STORY
+    assert main_blocks(f"<body><div class=x><p>A note.</p></div><div class=story>{TOLD}</div>") == STORY
+    assert main_blocks(f"<body><article><header><h1>Head</h1></header><div class=b>{TOLD}</div></article>") == ["Head", *STORY]
+
+
 
 def test_pages(spark):
     for page, blocks in PAGES.items():
