@@ -6,8 +6,8 @@ divided by the number of blocks, and the two ratios are multiplied. The scores a
 since content lies together, and the paths above a share of the best score are content. A content path then takes in
 the rest of its container (headings, short paragraphs).
 
-What can never be content is left out before: elements such as nav, footer or form, and elements whose class, id or role says
-that they are adverts, notices, sidebars or reader comments.
+What can never be content is left out before: elements such as nav or footer, and those of such roles. Forms, and elements whose
+class or id says that they are adverts, notices, sidebars or reader comments, are left out unless the page's text lies in them.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ ENDS = {
     "body": {"head"},
 }
 NEVER_CONTENT = frozenset(
-    """aside audio button canvas datalist dialog footer form head header input label map menu nav object optgroup option
+    """aside audio button canvas datalist dialog footer head header input label map menu nav object optgroup option
     search select svg video""".split()
 ) | RAW
 SAYS_BOILERPLATE = frozenset(
@@ -71,12 +71,14 @@ SAYS_BOILERPLATE = frozenset(
     sponsored subscribe subscription teaser toolbar topbar widget widgets""".split()
 )
 ROLES = frozenset(
-    """alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar""".split()
+    """alert alertdialog banner complementary contentinfo dialog menu menubar navigation search status toolbar""".split()
 )
 ONLY_SAYS_LAYOUT = frozenset("has with without no".split())
 # Share of the best score that makes a path content, and what lying in article or main adds to a score: it decides only between
 # texts of a few words. It is divided by the number of articles, since many of them are teasers.
 THRESHOLD, LANDMARK = 0.35, 200.0
+# Share of the text of a page that an element in doubt has to hold to stay.
+MOST = 0.5
 KERNEL = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 
 
@@ -85,6 +87,10 @@ class Block:
     path: tuple[str, ...]
     text: str
     link_chars: int
+    # Elements around it that are boilerplate by their words, and whether it lies in a heading of the page, an article or main.
+    doubts: tuple[str, ...] = ()
+    has_h1: bool = False
+    has_landmark: bool = False
 
 
 def _is_boilerplate(name: str, rest: str, inside_article: bool) -> bool:
@@ -99,6 +105,18 @@ def _is_boilerplate(name: str, rest: str, inside_article: bool) -> bool:
         return True
     if attributes.get("role") in ROLES:
         return True
+    return False
+
+
+def _in_doubt(name: str, rest: str) -> bool:
+    """Whether an element says that it is boilerplate, which its text may disprove."""
+    if name == "form":
+        return True
+    if not rest or name in ("html", "body", "main"):
+        return False
+    attributes = {m[0].lower(): (m[1] or m[2] or m[3]).lower() for m in _ATTRIBUTE.findall(rest)}
+    if attributes.get("role") == "form":
+        return True
     words = set(re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}"))
     return bool(words & SAYS_BOILERPLATE) and not words & ONLY_SAYS_LAYOUT
 
@@ -110,10 +128,11 @@ def _label(name: str, rest: str) -> str:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page that may be content, in order. White space is one space, references are decoded."""
+    """The blocks of a page that may be content, in order, those in doubt included. White space is one space, references are decoded."""
     found: list[Block] = []
-    # Open elements: name, label of the path or None, whether it and all in it are left out, whether it is in an article.
-    stack: list[tuple[str, str | None, bool, bool]] = []
+    # Open elements: name, label of the path or None, whether it and all in it are left out, whether it is in an
+    # article, its label if it is in doubt.
+    stack: list[tuple[str, str | None, bool, bool, str | None]] = []
     parts: list[str] = []
     links = 0
 
@@ -122,7 +141,10 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append(Block(tuple(label for _, label, _, _ in stack if label), text, links))
+                path = tuple(label for _, label, *_ in stack if label)
+                names = {name for name, *_ in stack}
+                doubts = tuple(entry[4] for entry in stack if entry[4])
+                found.append(Block(path, text, links, doubts, "h1" in names, bool(names & {"article", "main"})))
             parts.clear()
         links = 0
 
@@ -187,13 +209,14 @@ def blocks_of(page: str) -> list[Block]:
                     close_to(depth)
                 elif stack[depth][0] in ("ul", "ol", "dl", "table", "select", "html"):
                     break
-        above = stack[-1] if stack else ("", None, False, False)
+        above = stack[-1] if stack else ("", None, False, False, None)
         left_out = above[2] or _is_boilerplate(name, rest, above[3])
         label = _label(name, rest) if name in BLOCK else None
-        if left_out and not above[2]:
+        doubt = _label(name, rest) if not left_out and _in_doubt(name, rest) else None
+        if left_out and not above[2] or doubt:
             flush()
         if not rest.endswith("/") or name in BLOCK:
-            stack.append((name, label, left_out, above[3] or name == "article"))
+            stack.append((name, label, left_out, above[3] or name == "article", doubt))
     flush()
     return found
 
@@ -202,6 +225,25 @@ def _tag(label: str) -> str:
     return label.split(".", 1)[0]
 
 
+def without_boilerplate(blocks: list[Block]) -> list[Block]:
+    """Leaves out the elements in doubt, but for those that hold the page's heading, its only article or most of its text.
+
+    Elements with the same tag and classes are judged together.
+    """
+    def size(of: list[Block]) -> int:
+        return sum(max(0, len(block.text) - block.link_chars) for block in of)
+
+    anchored = any((block.has_h1 or block.has_landmark) and not block.doubts for block in blocks)
+    dropped = set()
+    for label in {label for block in blocks for label in block.doubts}:
+        inside = [block for block in blocks if label in block.doubts]
+        if any(block.has_h1 for block in inside):
+            continue
+        if anchored or not any(b.has_landmark for b in inside) and size(inside) < MOST * size(blocks):
+            dropped.add(label)
+    return [block for block in blocks if not dropped.intersection(block.doubts)]
+
+
 def path_scores(blocks: list[Block], articles: int = 1) -> dict[tuple[str, ...], float]:
     """Text ratio times punctuation ratio of each path, smoothed along the page."""
     length: dict[tuple, int] = defaultdict(int)
@@ -226,7 +268,7 @@ def path_scores(blocks: list[Block], articles: int = 1) -> dict[tuple[str, ...],
 
 
 def main_blocks(page: str) -> list[str]:
-    blocks = blocks_of(page)
+    blocks = without_boilerplate(blocks_of(page))
     if not blocks:
         return []
     scores = path_scores(blocks, len(_ARTICLE.findall(page)))

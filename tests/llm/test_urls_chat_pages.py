@@ -130,6 +130,18 @@ def test_articles_are_weak_evidence():
     assert main_blocks(f"<body><article><header><h1>Head</h1></header><div class=b>{TOLD}</div></article>") == ["Head", *STORY]
 
 
+def test_boilerplate_words_are_evidence_only():
+    for name in ("category-social", "category-legal", "tag-newsletter"):
+        assert main_blocks(f"<body><article class='post {name}'>{TOLD}</article><footer>x</footer>") == STORY
+    widget = "<div class='elementor-widget-container'>"
+    assert main_blocks(f"<body>{widget}{TOLD}</div></body>") == STORY
+    assert main_blocks(f"<body><div class='sidebar-right layout'><div class=ad>Buy, now.</div><div>{TOLD}</div></div>") == STORY
+    assert main_blocks(f"<body><form id='aspnetForm'><div id=c>{TOLD}</div></form>") == STORY
+    # More comments than text.
+    comments = f"<div class=comments><article class=c>{TOLD}{TOLD}</article></div>"
+    assert main_blocks(f"<body><article class=post>{TOLD}</article>{comments}") == STORY
+
+
 
 def test_pages(spark):
     for page, blocks in PAGES.items():
