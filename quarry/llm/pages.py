@@ -29,10 +29,17 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*>?"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"
-    r"(?P<rest>(?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+')*+)>"
+    r"(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>?",
     re.S,
 )
+# Without regard to quotes. A tag whose quotes do not close is looked for up to the end of the page, so only so often.
+_LOOSE = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|(?!)(?P<close>)(?P<name>)(?P<rest>)"
+    r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>?",
+    re.S,
+)
+UNCLOSED = 64
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _ARTICLE = re.compile(r"<article(?=[\s/>])", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟،।]")
@@ -160,19 +167,20 @@ def blocks_of(page: str) -> list[Block]:
             if any(name == "a" for name, *_ in stack):
                 links += len(text.strip())
 
-    at = 0
+    at, unclosed = 0, 0
     while at < len(page):
         mark = page.find("<", at)
         if mark < 0:
             put(page[at:])
             break
         put(page[at:mark])
-        tag = _MARKUP.match(page, mark)
+        tag = (_MARKUP if unclosed < UNCLOSED else _LOOSE).match(page, mark)
         if tag is None:
             put("<")
             at = mark + 1
             continue
         at = tag.end()
+        unclosed += tag["name2"] is not None
         name = (tag["name"] or tag["name2"] or "").lower()
         if not name:
             continue

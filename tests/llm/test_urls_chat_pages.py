@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from quarry.llm.chat import chat_digest, escaped, format_chat, read_chat, unescaped
 from quarry.llm.pages import extract_main_text, main_blocks
@@ -142,6 +143,14 @@ def test_boilerplate_words_are_evidence_only():
     assert main_blocks(f"<body><article class=post>{TOLD}</article>{comments}") == STORY
 
 
+def test_long_attributes():
+    value = "x > y <p>no</p> " * 1000
+    assert main_blocks(f"<body><div data-props=\"{value}\">{TOLD}</div>") == STORY
+    assert main_blocks(f"<body><div title=\"open>{TOLD.replace(chr(34), '')}</div>") == STORY
+    begin = time.monotonic()
+    main_blocks("<a '\"x>y\"" * 40_000)
+    assert time.monotonic() - begin < 30
+
 
 def test_pages(spark):
     for page, blocks in PAGES.items():
