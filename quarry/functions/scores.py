@@ -65,7 +65,8 @@ def best_of_task(hits: DataFrame, k: int, keys: Sequence[str] = QUERY_KEYS) -> D
         kept = None
         for batch in batches:
             rows = batch if kept is None else pd.concat([kept, batch])
-            kept = rows.sort_values(order, ascending=ascending).groupby(list(keys), sort=False).head(max(k, 0))
+            ranked = rows.sort_values(order, ascending=ascending)
+            kept = ranked.groupby(list(keys), sort=False, dropna=False).head(max(k, 0))
         if kept is not None:
             yield kept
 

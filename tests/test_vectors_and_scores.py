@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.functions.scores import at_least, blend, last_entry_wins, max_normalised, top_k
+from quarry.functions.scores import at_least, best_of_task, blend, last_entry_wins, max_normalised, top_k
 from quarry.functions.vectors import inner_product, l2_normalise, norm
 
 
@@ -53,3 +53,10 @@ def test_of_repeated_documents_the_lowest_score_stays(spark):
     df = spark.createDataFrame(rows, "corpus_id string, query_id int, doc_id long, score double")
     assert {r.doc_id: r.score for r in last_entry_wins(df).collect()} == {7: 0.2, 8: 0.5}
     assert math.isclose(last_entry_wins(df).agg(F.sum("score")).first()[0], 0.7)
+
+
+def test_best_of_task_keeps_queries_without_ids(spark):
+    rows = [("c", None, k, float(k)) for k in range(3)] + [(None, 4, k, float(k)) for k in range(3)] + [("c", 4, 0, 1.0)]
+    hits = spark.createDataFrame(rows, "corpus_id string, query_id long, doc_id long, score double").coalesce(1)
+    got = {tuple(r) for r in best_of_task(hits, 2).collect()}
+    assert got == {("c", None, 2, 2.0), ("c", None, 1, 1.0), (None, 4, 2, 2.0), (None, 4, 1, 1.0), ("c", 4, 0, 1.0)}
