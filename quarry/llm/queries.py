@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.chat import chat_digest, format_chat
+from quarry.llm.codebooks import vector_codes
 from quarry.llm.decontaminate import contamination
 from quarry.llm.exact_copies import exact_copies
 from quarry.llm.near_copies import near_copies
@@ -149,7 +150,8 @@ OP8_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[^ 	-]+') AS w
+           '[^ 	-
+]+') AS w
   FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, array_to_string(w[j:j + 3], ' ') || (CASE WHEN len(w) < 4 THEN ' ' ELSE '' END) AS s
@@ -187,6 +189,56 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf, "documents"), path, tokenizer, end_id=2))
 
 
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes(table(spark, sf, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
+_OP13_PARTS = """
+  SELECT vec_id, label, p, list_transform(range(w), lambda j: v[p * w + j + 1]) AS x
+  FROM kept, (SELECT len(v) // 16 AS w FROM kept LIMIT 1), range(16) t(p)"""
+
+
+def _op13_round(book: str, number: int) -> str:
+    return f"""
+assign{number} AS (
+  SELECT vec_id, label, p, x, arg_min(e, d * 256 + e) AS e, min(d) AS d
+  FROM (SELECT q.*, c.e,
+               list_sum(list_transform(range(len(q.x)), lambda j: (q.x[j + 1] - c.x[j + 1]) * (q.x[j + 1] - c.x[j + 1]))) AS d
+        FROM parts q JOIN {book} c USING (p))
+  GROUP BY vec_id, label, p, x),
+sums{number} AS (
+  SELECT p, e, j, sum(xj) AS s, count(*) AS n
+  FROM (SELECT p, e, generate_subscripts(x, 1) - 1 AS j, unnest(x) AS xj FROM assign{number}) GROUP BY p, e, j),
+book{number} AS (
+  SELECT p, e, list(coalesce(floor(s / n)::BIGINT, old) ORDER BY j) AS x
+  FROM (SELECT p, e, generate_subscripts(x, 1) - 1 AS j, unnest(x) AS old FROM {book})
+       LEFT JOIN sums{number} USING (p, e, j)
+  GROUP BY p, e)"""
+
+
+OP13_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))), false)),
+parts AS ({_OP13_PARTS}),
+book0 AS (
+  SELECT p, e, x FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e
+                                  FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),
+{_op13_round("book0", 1)},
+{_op13_round("book1", 2)},
+{_op13_round("book2", 3)},
+coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+  FROM assign3 GROUP BY vec_id),
+digest AS (
+  SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, j)) AS h
+  FROM (SELECT p, e, generate_subscripts(x, 1) AS j, unnest(x) AS v FROM book2))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM coded, digest
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -198,6 +250,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filter": OP3_SQL,
@@ -205,4 +258,5 @@ ORACLES: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
     "op8_near_dedup": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
