@@ -13,6 +13,7 @@ from quarry.llm.codebooks import vector_codes
 from quarry.llm.decontaminate import contamination
 from quarry.llm.exact_copies import exact_copies
 from quarry.llm.near_copies import near_copies
+from quarry.llm.neighbours import nearest_neighbours
 from quarry.llm.packing import encode_stream, packed_pieces
 from quarry.llm.pages import extract_main_text
 from quarry.llm.quality import score_quality
@@ -189,6 +190,11 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf, "documents"), path, tokenizer, end_id=2))
 
 
+def op11_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    embeddings = table(spark, sf, "embeddings")
+    return nearest_neighbours(embeddings, F.col("vec_id") % 100 == 0, k=10, probes=32)
+
+
 def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     return vector_codes(table(spark, sf, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
 
@@ -250,6 +256,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
+    "op11_nearest": op11_nearest,
     "op13_vector_codes": op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
