@@ -16,6 +16,7 @@ from quarry.llm.near_copies import near_copies
 from quarry.llm.neighbours import nearest_neighbours
 from quarry.llm.packing import encode_stream, packed_pieces
 from quarry.llm.pages import extract_main_text
+from quarry.llm.prefix_trie import prefix_trie, rebuilt_conversations
 from quarry.llm.quality import score_quality
 from quarry.llm.token_counts import Automaton, byte_vocabulary, count_tokens
 from quarry.llm.token_files import read_token_files, write_token_files
@@ -195,6 +196,10 @@ def op11_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return nearest_neighbours(embeddings, F.col("vec_id") % 100 == 0, k=10, probes=32)
 
 
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie(rebuilt_conversations(table(spark, sf, "conversations"), keep=9, family=5), shard_depth=2)
+
+
 def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     return vector_codes(table(spark, sf, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
 
@@ -257,6 +262,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
     "op11_nearest": op11_nearest,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_vector_codes": op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
