@@ -11,7 +11,9 @@ In Spark: buckets are rows (table, key, vector key); the probes of the queries a
 equi-join on (table, key) gives the candidates, with no pair built outside shared buckets. Vectors that are equal are
 one indexed point: a hot vector with a third of all rows is one row in each table, and its members (at most ``K + 1``
 smallest ids are ever needed) are ranked in salted windows. The width ``w`` is fitted on a bounded sample
-(``SAMPLE`` vectors): ``WIDTH_FACTOR`` times their median distance to their tenth neighbour. A query that finds fewer
+(``SAMPLE`` rows): ``WIDTH_FACTOR`` times their median distance to their tenth nearest row of the whole table, found by
+an exact scan. Each bucket is scored where it lies: Spark groups the indexed points and the probes that visit them by
+bucket, and only each query's ``K + 1`` nearest points of the bucket leave it, so no (query, candidate) pair is shuffled. A query that finds fewer
 than ``K`` neighbours is answered exactly, by a scan of all rows in blocks of queries.
 """
 
@@ -29,7 +31,7 @@ from quarry.llm.codebooks import usable
 from quarry.llm.common import saved
 
 TABLES, PROJECTIONS, PROBES = 8, 8, 32
-WIDTH_FACTOR, SAMPLE, SEED = 2.5, 2048, 17
+WIDTH_FACTOR, SAMPLE, SEED = 2.5, 256, 17
 K = 10
 # Salts of the windows that rank members of one vector, and queries per block of the exact scan.
 SALTS, QUERY_BLOCK = 64, 1024
@@ -86,17 +88,6 @@ class Hashing:
         return found
 
 
-def _fit_width(sample: np.ndarray) -> float:
-    if len(sample) < 2:
-        return 1.0
-    norms = (sample * sample).sum(axis=1)
-    d2 = np.maximum(norms[:, None] + norms[None, :] - 2 * sample @ sample.T, 0.0)
-    np.fill_diagonal(d2, np.inf)
-    k = min(K, len(sample) - 1)
-    tenth = np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1])
-    return float(WIDTH_FACTOR * np.median(tenth)) or 1.0
-
-
 def _vectors(column: pd.Series, dims: int) -> np.ndarray:
     if len(column) == 0:
         return np.zeros((0, dims))
@@ -126,18 +117,14 @@ def nearest_neighbours(
     or no query, gives no rows.
     """
     spark = table.sparkSession
-    doubles = F.transform(vector, lambda x: x.cast("double"))
     rows = table.filter(usable(vector) & F.exists(vector, lambda x: x != 0)).select(
-        F.col(vec_id).cast("long").alias("vec_id"), F.when(queries, True).otherwise(False).alias("asks"), doubles.alias("v")
+        F.col(vec_id).cast("long").alias("vec_id"), F.when(queries, True).otherwise(False).alias("asks"), F.col(vector).alias("v")
     )
     dims = rows.agg(F.max(F.size("v"))).first()[0]
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = saved(
-        rows.filter(F.size("v") == dims).withColumns(
-            {"h1": F.xxhash64("v"), "h2": F.hash("v").cast("long")}
-        ),
-        "ann-rows",
+        rows.filter(F.size("v") == dims).withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v").cast("long")}), "ann-rows"
     )
     point = ["h1", "h2"]
     id_order = [F.col("vec_id").asc_nulls_last()]
@@ -146,52 +133,83 @@ def nearest_neighbours(
     members = saved(_best(salted.select(*point, "vec_id"), point, id_order, k + 1), "ann-members")
     points = saved(rows.groupBy(*point).agg(F.first("v").alias("v")), "ann-points")
 
-    sample = np.array(
-        [r.v for r in points.orderBy(F.xxhash64("h1", "h2")).limit(SAMPLE).select("v").collect()], dtype=np.float64
+    # The width: a bounded sample of rows, each with its tenth nearest row found by a full scan.
+    sample = rows.orderBy(F.xxhash64("h1", "h2", "vec_id")).limit(SAMPLE).select(
+        F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("v").alias("qv")
     )
-    hashing = Hashing(dims, _fit_width(sample))
+    tenth = exact_scan(rows, sample, K).groupBy("query_id", "q1", "q2").agg(F.max("score").alias("d"))
+    middle = tenth.agg(F.median("d")).first()[0]
+    hashing = Hashing(dims, WIDTH_FACTOR * middle if middle else 1.0)
 
     def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             cells = np.floor(hashing.positions(_vectors(batch["v"], dims)))
             for t in range(cells.shape[1]):
-                yield pd.DataFrame({"t": t, "key": hashing.keys(cells[:, t], t), "c1": batch["h1"], "c2": batch["h2"]})
+                keys = hashing.keys(cells[:, t], t)
+                yield pd.DataFrame({"t": t, "key": keys, "c1": batch["h1"], "c2": batch["h2"], "v": batch["v"]})
 
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             positions = hashing.positions(_vectors(batch["v"], dims))
             for t in range(positions.shape[1]):
-                visits, owners1, owners2 = [], [], []
+                visits, owners = [], []
                 for row, position in enumerate(positions[:, t]):
                     cells = hashing.probes(position, probes)
                     visits.extend(cells)
-                    owners1.extend([batch["h1"].iat[row]] * len(cells))
-                    owners2.extend([batch["h2"].iat[row]] * len(cells))
+                    owners.extend([row] * len(cells))
                 if visits:
                     keys = hashing.keys(np.array(visits), t)
-                    yield pd.DataFrame({"t": t, "key": keys, "q1": owners1, "q2": owners2})
-
-    indexed = saved(points.mapInPandas(buckets, "t int, key long, c1 long, c2 long"), "ann-buckets")
+                    picked = batch.iloc[owners]
+                    yield pd.DataFrame({"t": t, "key": keys, "q1": picked["h1"].to_numpy(), "q2": picked["h2"].to_numpy(),
+                                        "qv": picked["v"].to_numpy()})
+
+    def nearest_in_bucket(found: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        """Per query that visits this bucket, the bucket's k + 1 nearest points, ties at the last place included."""
+        if found.empty or asking.empty:
+            return pd.DataFrame({"q1": [], "q2": [], "c1": [], "c2": [], "d": []})
+        asking = asking.drop_duplicates(["q1", "q2"])
+        c = _vectors(found["v"], dims)
+        out = []
+        for q1, q2, qv in zip(asking["q1"], asking["q2"], asking["qv"]):
+            d = np.sqrt(((c - np.asarray(qv, dtype=np.float64)) ** 2).sum(axis=1))
+            if len(d) > k + 1:
+                bound = np.partition(d, k)[k]
+                near = np.flatnonzero(d <= bound)
+            else:
+                near = np.arange(len(d))
+            out.append(pd.DataFrame({"q1": q1, "q2": q2, "c1": found["c1"].to_numpy()[near],
+                                     "c2": found["c2"].to_numpy()[near], "d": d[near]}))
+        return pd.concat(out, ignore_index=True)
+
+    indexed = points.mapInPandas(buckets, f"t int, key long, c1 long, c2 long, v {points.schema['v'].dataType.simpleString()}")
     asked = rows.filter("asks").select(*point, "v").dropDuplicates(point)
-    visits = asked.mapInPandas(probed, "t int, key long, q1 long, q2 long")
-    pairs = visits.join(indexed, ["t", "key"]).select("q1", "q2", "c1", "c2").distinct()
-    query_points = points.select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("v").alias("qv"))
-    scored = (
-        pairs.join(points.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "v"), ["c1", "c2"])
-        .join(query_points, ["q1", "q2"])
-        .select("q1", "q2", "c1", "c2", F.sqrt(squared_distance("qv", "v")).alias("score"))
+    visits = asked.mapInPandas(probed, f"t int, key long, q1 long, q2 long, qv {rows.schema['v'].dataType.simpleString()}")
+    near = (
+        indexed.groupBy("t", "key")
+        .cogroup(visits.groupBy("t", "key"))
+        .applyInPandas(nearest_in_bucket, "q1 long, q2 long, c1 long, c2 long, d double")
+        .groupBy("q1", "q2", "c1", "c2")
+        .agg(F.min("d").alias("d"))
     )
-    ranked = scored.join(members.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "vec_id"), ["c1", "c2"])
+    ranked = near.join(members.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "vec_id"), ["c1", "c2"])
     order = [F.col("score"), F.col("vec_id").asc_nulls_last()]
-    kept = _best(ranked.select("q1", "q2", "vec_id", "score"), ["q1", "q2"], order, k + 1)
+    kept = _best(ranked.select("q1", "q2", "c1", "c2", "vec_id", F.col("d").alias("score")), ["q1", "q2"], order, k + 1)
     asking = rows.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2"))
+    query_points = points.select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("v").alias("qv"))
     found = (
         asking.dropDuplicates()
         .join(kept, ["q1", "q2"])
         .filter(~F.col("vec_id").eqNullSafe(F.col("query_id")))
-        .select("query_id", "q1", "q2", "vec_id", "score")
+        .select("query_id", "q1", "q2", "c1", "c2", "vec_id", "score")
+    )
+    found = _best(found, ["query_id", "q1", "q2"], order, k)
+    # The reported score: the exact measure, summed in component order by Spark.
+    found = (
+        found.join(points.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "v"), ["c1", "c2"])
+        .join(query_points, ["q1", "q2"])
+        .select("query_id", "q1", "q2", "vec_id", F.sqrt(squared_distance("qv", "v")).alias("score"))
     )
-    found = saved(_best(found, ["query_id", "q1", "q2"], order, k), "ann-found")
+    found = saved(found, "ann-found")
     # Queries that found fewer than k: exactly, against all rows, in blocks.
     others = rows.agg(F.count("*")).first()[0]
     short = (

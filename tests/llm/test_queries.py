@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query(spark, name):
     con = duckdb.connect()
-    for view in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for view in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{FOLDER}/{view}.parquet'")
     got = QUERIES[name](spark, FOLDER).toArrow()
     expected = con.sql(ORACLES[name]).to_arrow_table()
