@@ -16,6 +16,7 @@ from quarry.config import EVALUATION, SearchSettings  # noqa: E402
 from quarry.functions.scores import last_entry_wins, rounded  # noqa: E402
 from quarry.functions.text import combined_text, preview, tokens  # noqa: E402
 from quarry.functions.vectors import l2_normalise  # noqa: E402
+from quarry.operators.clustered import LISTS, build_clustered, exact_search, probe_search
 from quarry.operators.embed import HashedWords, HashedWordsSql, StoredVectors  # noqa: E402
 from quarry.operators.evaluate import compare, judged, ranking_metrics  # noqa: E402
 from quarry.operators.lexical import document_scores, normalised_scores, postings  # noqa: E402
@@ -164,6 +165,40 @@ def _vector_search(spark, sf, key) -> DataFrame:
     return _hits(search.search(index, _centroids(vectors, key)))
 
 
+# Clustered indexes of the documents' vectors and of the stored vectors, built once per session and folder.
+_clustered_docs = _once("clustered-docs", lambda spark, sf: build_clustered(_index(spark, sf).documents, LISTS))
+_clustered_vectors = _once(
+    "clustered-vectors",
+    lambda spark, sf: build_clustered(
+        with_corpus(_table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")), LISTS
+    ),
+)
+
+
+def _asked(spark, sf) -> DataFrame:
+    return search.prepared(_queries(spark, sf), EMBEDDER)
+
+
+def ivf_all_lists(spark, sf):
+    """Every query probes every list: the same rows as ``semantic_batch``."""
+    return _hits(probe_search(_clustered_docs(spark, sf), _asked(spark, sf), 10, probes=LISTS))
+
+
+def ivf_probed(spark, sf):
+    """Each query probes its 8 nearest of 32 lists."""
+    return _hits(probe_search(_clustered_docs(spark, sf), _asked(spark, sf), 10, probes=8))
+
+
+def semantic_batch_skipping(spark, sf):
+    """Exact search that reads only the lists whose bound reaches a query's tenth score."""
+    return _hits(exact_search(_clustered_docs(spark, sf), _asked(spark, sf), 10))
+
+
+def semantic_topk_skipping(spark, sf):
+    vectors = _table(spark, sf, "embeddings")
+    return _hits(exact_search(_clustered_vectors(spark, sf), with_corpus(_centroids(vectors, F.lit(0))), 10))
+
+
 def semantic_stored_vectors(spark, sf):
     """The documents that have a vector, searched with the mean vector of each label."""
     vectors = _table(spark, sf, "embeddings").withColumn("doc_id", F.col("vec_id"))
@@ -489,6 +524,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "semantic_topk": lambda spark, sf: _vector_search(spark, sf, F.lit(0)),
         "semantic_stored_vectors": semantic_stored_vectors,
         "semantic_batch": lambda spark, sf: _hits(_search(spark, sf, use_bm25=False)),
+        "ivf_all_lists": ivf_all_lists,
+        "ivf_probed": ivf_probed,
+        "semantic_batch_skipping": semantic_batch_skipping,
+        "semantic_topk_skipping": semantic_topk_skipping,
         "semantic_threshold": lambda spark, sf: _hits(
             _search(spark, sf, use_bm25=False, min_score=0.5)
         ),

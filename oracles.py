@@ -314,6 +314,9 @@ FROM (SELECT doc_id, {words("combined_text")} AS w FROM docs)""",
     "semantic_topk": query(CENTROID, semantic(10), hits("semantic")),
     "semantic_stored_vectors": query(LABEL_CENTROIDS, semantic(10), hits("semantic")),
     "semantic_batch": query(*SEARCH, semantic(10), hits("semantic")),
+    "ivf_all_lists": query(*SEARCH, semantic(10), hits("semantic")),
+    "semantic_batch_skipping": query(*SEARCH, semantic(10), hits("semantic")),
+    "semantic_topk_skipping": query(CENTROID, semantic(10), hits("semantic")),
     "semantic_threshold": query(*SEARCH, semantic(10), hits("semantic", 0.5)),
     "bm25_scores": query(
         REVIEWS,
