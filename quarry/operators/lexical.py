@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.config import BM25_B, BM25_EPSILON, BM25_K1
@@ -200,3 +200,109 @@ def best_matches(lex: Lexicon, queries: DataFrame, k: int) -> DataFrame:
     scores = scores.withColumn("score", rounded("score"))
     # A task holds all sums of its documents, so its own best ``k`` are all it has to pass on.
     return top_k(best_of_task(scores, k), k)
+
+
+# Documents per block of the impact bounds.
+BLOCK_DOCS = 256
+# Scores are compared rounded; a bound that comes this near a threshold is still read.
+BOUND_SLACK = 1e-6
+
+
+@dataclass
+class Scored:
+    """Postings that ``bounded_matches`` summed, against all postings of the query terms; filled only when asked."""
+
+    postings: int = 0
+    whole: int = 0
+
+
+def impacts(lex: Lexicon, blocks: int) -> DataFrame:
+    """``(corpus_id, term, block, impact)``: the largest weight of a term in any document of a block, for ``qtf`` 1.
+
+    A block is ``pmod(xxhash64(doc_id), blocks)``. This has at most one row per posting and, for frequent terms, one per
+    block: made once per lexicon and saved.
+    """
+    known = lex.terms.join(F.broadcast(lex.corpora), "corpus_id").select("corpus_id", "term", "idf", "avgdl")
+    weight = _weight(F.lit(1))
+    return materialise(
+        lex.postings.join(known, ["corpus_id", "term"])
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+        .groupBy("corpus_id", "term", "block")
+        .agg(F.max(weight).alias("impact")),
+        "impacts",
+    )
+
+
+def _weight(qtf) -> F.Column:
+    length = 1.0 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")
+    return qtf * F.col("idf") * F.col("tf") * (BM25_K1 + 1.0) / (F.col("tf") + BM25_K1 * length)
+
+
+def _scores_in(lex: Lexicon, weighted: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
+    """Exact rounded sums of the documents in the (query, block) pairs of ``blocks``."""
+    keys = ["corpus_id", "query_id", "block"]
+    asked = weighted.join(blocks.select(*keys), ["corpus_id", "query_id"])
+    posted = lex.postings.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)))
+    matched = posted.join(asked, ["corpus_id", "term", "block"])
+    sums = matched.groupBy("corpus_id", "query_id", "doc_id").agg(F.sum(_weight(F.col("qtf"))).alias("score"))
+    return sums.withColumn("score", rounded("score"))
+
+
+def bounded_matches(lex: Lexicon, queries: DataFrame, k: int, scored: Scored | None = None) -> DataFrame:
+    """The same rows as ``best_matches``, without summing documents that cannot be among a query's best ``k``.
+
+    Per block of about ``BLOCK_DOCS`` documents and term, the largest weight bounds what any document of the block gets
+    from that term; summed over a query's terms it bounds the block. First the documents of the query's rarest terms,
+    taken by falling weight until they hold ``k`` documents, are scored with all its terms; their ``k``-th score is a
+    floor for the query's ``k``-th, and only blocks whose bound reaches it are scored. A document that shares only frequent words with a query (whose weights are small) lies in blocks that
+    stay below the floor and is never summed. With fewer than ``k`` documents found first, every block is read.
+    """
+    n_docs = lex.corpora.agg(F.max("n_docs")).first()[0] or 0
+    n_blocks = max(1, -(-n_docs // BLOCK_DOCS))
+    key = ["corpus_id", "term"]
+    asked = materialise(query_terms(queries), "asked")
+    known = lex.terms.join(F.broadcast(lex.corpora), "corpus_id").select(*key, "idf", "avgdl")
+    weighted = materialise(asked.join(known, key), "weighted")
+    bounds = materialise(
+        weighted.join(impacts(lex, n_blocks), key)
+        .groupBy("corpus_id", "query_id", "block")
+        .agg(F.sum(F.col("qtf") * F.col("impact")).alias("bound")),
+        "bounds",
+    )
+    # The floor: documents of each query's rarest terms, enough of them to hold k documents, scored with all terms.
+    rarest = Window.partitionBy("corpus_id", "query_id").orderBy(F.desc("idf"), "term")
+    before = rarest.rowsBetween(Window.unboundedPreceding, -1)
+    seeds = (
+        weighted.join(lex.terms.select(*key, "df"), key)
+        .withColumn("_held", F.coalesce(F.sum("df").over(before), F.lit(0)))
+        .filter(F.col("_held") < k)
+        .select("corpus_id", "query_id", "term")
+    )
+    seed_docs = lex.postings.join(seeds, key).select("corpus_id", "query_id", "doc_id").distinct()
+    wanted = weighted.join(seed_docs, ["corpus_id", "query_id"])
+    early = (
+        lex.postings.join(wanted, ["corpus_id", "doc_id", "term"])
+        .groupBy("corpus_id", "query_id", "doc_id")
+        .agg(F.sum(_weight(F.col("qtf"))).alias("score"))
+        .withColumn("score", rounded("score"))
+    )
+    by_score = Window.partitionBy("corpus_id", "query_id").orderBy(F.desc("score"), "doc_id")
+    floor = materialise(
+        early.withColumn("_n", F.row_number().over(by_score))
+        .filter(F.col("_n") == k)
+        .select("corpus_id", "query_id", F.col("score").alias("floor")),
+        "floor",
+    )
+    reach = bounds.join(floor, ["corpus_id", "query_id"], "left").filter(
+        F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - BOUND_SLACK)
+    )
+    later = materialise(reach.select("corpus_id", "query_id", "block"), "reached")
+    if scored is not None:
+        posted = lex.postings.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)))
+        per_block = posted.groupBy("corpus_id", "term", "block").agg(F.count("*").alias("n"))
+        terms_blocks = weighted.select("corpus_id", "query_id", "term").join(per_block, key)
+        scored.whole += terms_blocks.agg(F.sum("n")).first()[0] or 0
+        scored.postings += terms_blocks.join(later, ["corpus_id", "query_id", "block"]).agg(F.sum("n")).first()[0] or 0
+        scored.postings += wanted.join(lex.postings, ["corpus_id", "doc_id", "term"]).count()
+    found = _scores_in(lex, weighted, later, n_blocks)
+    return top_k(best_of_task(found, k), k)

@@ -14,7 +14,7 @@ from quarry.functions.scores import at_least
 from quarry.functions.text import not_blank
 from quarry.operators.embed import Embedder
 from quarry.operators.hybrid import hybrid, hybrid_candidates, hybrid_hits, semantic_hits
-from quarry.operators.lexical import best_matches
+from quarry.operators.lexical import bounded_matches
 from quarry.operators.reports import with_documents
 from quarry.operators.semantic import QUERIES_PER_PASS, nearest
 from quarry.plans.build import check_model
@@ -142,7 +142,7 @@ def lexical_search(index: StoredIndex, queries: DataFrame, top_k: int = 10) -> D
         raise ValueError("this index has no lexicon")
     check_queries(queries)
     hits = in_passes(
-        with_corpus(queries), QUERIES_PER_PASS, lambda some: best_matches(index.lexicon, some, top_k), "lexical"
+        with_corpus(queries), QUERIES_PER_PASS, lambda some: bounded_matches(index.lexicon, some, top_k), "lexical"
     )
     return hits.withColumn("search_type", F.lit("bm25")).select(*HIT_COLUMNS)
 

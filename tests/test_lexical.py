@@ -4,7 +4,9 @@ from collections import Counter
 import pytest
 
 from quarry.operators.lexical import (
+    Scored,
     best_matches,
+    bounded_matches,
     document_scores,
     lexicon,
     normalised_scores,
@@ -105,3 +107,27 @@ def test_normalised_and_best(spark):
         top = max(v for (query, _), v in expected.items() if query == row.query_id)
         assert row.score == pytest.approx(top) and row.rank == 1
     assert {r.query_id for r in best} == {1, 2, 4, 5}
+
+
+def _rows(df):
+    return sorted((r.corpus_id, r.query_id, r.doc_id, r.score, r.rank) for r in df.collect())
+
+
+@pytest.mark.parametrize("k", [1, 3, 10])
+def test_bounded_matches_equal_best_matches(spark, k):
+    d, q = _frames(spark, DOCS, QUERIES)
+    lex = lexicon(d)
+    assert _rows(bounded_matches(lex, q, k)) == _rows(best_matches(lex, q, k))
+
+
+def test_bounds_leave_documents_of_frequent_words_unsummed(spark):
+    words = [f"w{i}" for i in range(40)]
+    docs = {i: f"the and of {words[i % 40]} {words[(i * 7) % 40]}" + (" zebra stripes" if i % 1500 == 0 else "") for i in range(12000)}
+    queries = {1: "the zebra", 2: "of stripes and", 3: "zebra"}
+    d, q = _frames(spark, docs, queries)
+    lex = lexicon(d)
+    scored = Scored()
+    assert _rows(bounded_matches(lex, q, 5, scored)) == _rows(best_matches(lex, q, 5))
+    assert scored.whole > 30_000
+    # 8 documents with a rare word lie in at most 8 of 47 blocks; the rest hold only frequent words and are not summed.
+    assert scored.postings < 0.25 * scored.whole
