@@ -7,13 +7,16 @@
 * ``terms``, ``corpora``: the word statistics as of each batch,
 * ``commits``: a row per batch with its counts and the settings, written last.
 
-Only batches with a commit exist for readers, so a batch that broke off does no harm. One writer at a time.
+Every call that adds a batch is an attempt with a name of its own, and writes documents, postings and statistics under
+it; the commit row names the attempt. Readers take only files of committed attempts, so a batch that broke off at any
+point, and is then tried again, counts once. One writer at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
@@ -33,10 +36,10 @@ from quarry.operators.lexical import (
 # A bucket is read by one task, so their number goes by the length of the texts.
 CHARACTERS_PER_BUCKET = 64_000_000
 
-POSTINGS_COLUMNS = "corpus_id STRING, doc_id BIGINT, term STRING, tf BIGINT, dl BIGINT, batch STRING"
+POSTINGS_COLUMNS = "corpus_id STRING, doc_id BIGINT, term STRING, tf BIGINT, dl BIGINT, batch STRING, attempt STRING"
 COMMIT_COLUMNS = (
     "number long, batch string, n_docs long, n_vectors long, n_texts long, n_failed long,"
-    " model string, dimension int, use_bm25 boolean, bm25_weight double, buckets int"
+    " model string, dimension int, use_bm25 boolean, bm25_weight double, buckets int, attempt string"
 )
 
 
@@ -103,31 +106,40 @@ def _postings_table(spark: SparkSession, path: str, buckets: int) -> str:
     return name
 
 
-def _statistics(spark: SparkSession, path: str, batch: str) -> tuple[DataFrame, DataFrame]:
-    return (
-        spark.read.parquet(f"{path}/terms/batch={batch}"),
-        spark.read.parquet(f"{path}/corpora/batch={batch}"),
-    )
+def _segment(batch: str, attempt: str) -> str:
+    return f"batch={batch}/attempt={attempt}"
+
+
+def _statistics(spark: SparkSession, path: str, commit: Row) -> tuple[DataFrame, DataFrame]:
+    where = _segment(commit.batch, commit.attempt)
+    return spark.read.parquet(f"{path}/terms/{where}"), spark.read.parquet(f"{path}/corpora/{where}")
+
+
+def _before_commit() -> None:
+    """Called between the last file of an attempt and its commit row; tests break off here."""
 
 
-def _add_words(spark: SparkSession, docs: DataFrame, path: str, batch: str, before: str | None, buckets: int) -> None:
-    """Postings of one batch, and the word statistics as they are with it."""
+def _add_words(
+    spark: SparkSession, docs: DataFrame, path: str, batch: str, attempt: str, before: Row | None, buckets: int
+) -> None:
+    """Postings of one attempt, and the word statistics as they are with it."""
     name = _postings_table(spark, path, buckets)
     # The same hash and number of partitions as the buckets, so each task writes one file.
-    fresh = postings(docs, buckets).withColumn("batch", F.lit(batch))
+    fresh = postings(docs, buckets).withColumn("batch", F.lit(batch)).withColumn("attempt", F.lit(attempt))
     fresh.write.bucketBy(buckets, "doc_id").sortBy("term").format("parquet").mode("append").option(
         "path", f"{path}/postings"
     ).saveAsTable(name)
     spark.catalog.refreshTable(name)
-    posted = spark.table(name).filter(F.col("batch") == batch)
+    posted = spark.table(name).filter((F.col("batch") == batch) & (F.col("attempt") == attempt))
     sizes, frequencies = corpora(docs, posted), document_frequencies(posted)
     if before is not None:
         old_terms, old_sizes = _statistics(spark, path, before)
         sizes = merged_corpora(old_sizes, sizes)
         frequencies = merged_frequencies(old_terms, frequencies)
-    sizes.write.parquet(f"{path}/corpora/batch={batch}")
-    stats = spark.read.parquet(f"{path}/corpora/batch={batch}")
-    term_weights(frequencies, stats).write.parquet(f"{path}/terms/batch={batch}")
+    where = _segment(batch, attempt)
+    sizes.write.parquet(f"{path}/corpora/{where}")
+    stats = spark.read.parquet(f"{path}/corpora/{where}")
+    term_weights(frequencies, stats).write.parquet(f"{path}/terms/{where}")
 
 
 def append_batch(
@@ -143,7 +155,8 @@ def append_batch(
 ) -> Row:
     """Add embedded ``rows`` to the index at ``path`` and commit them; the first batch makes the index.
 
-    Rows with an ``error`` stay beside the index. More of them than ``max_errors``, a vector that is missing, or an id twice
+    The call is an attempt of its own: what it writes is read only once its commit row exists, so a call that broke off
+    leaves nothing that counts, and the same batch may simply be added again. Rows with an ``error`` stay beside the index. More of them than ``max_errors``, a vector that is missing, or an id twice
     is an error, and nothing is committed. ``unique`` says that the ids are known to be new.
     """
     spark = rows.sparkSession
@@ -160,7 +173,8 @@ def append_batch(
         F.count_if(good & F.col("combined_text").isNotNull()).alias("n_texts"),
         F.count_if(~good).alias("n_failed"),
     ]
-    target = f"{path}/documents/batch={batch}"
+    attempt = uuid.uuid4().hex
+    target = f"{path}/documents/{_segment(batch, attempt)}"
     rows.observe(seen, *counts).withColumn("status", F.when(good, "ok").otherwise("failed")).write.partitionBy(
         "status"
     ).mode("overwrite").parquet(target)
@@ -178,16 +192,19 @@ def append_batch(
         raise ValueError(f"index is inconsistent: an id occurs twice in {target}")
     if search.use_bm25:
         docs = written.select("corpus_id", "doc_id", "combined_text")
-        _add_words(spark, docs, path, batch, done[-1].batch if done else None, buckets)
+        _add_words(spark, docs, path, batch, attempt, done[-1] if done else None, buckets)
     number = done[-1].number + 1 if done else 1
-    row = (number, batch, *n.values(), model, dimension, search.use_bm25, search.bm25_weight, buckets)
+    row = (number, batch, *n.values(), model, dimension, search.use_bm25, search.bm25_weight, buckets, attempt)
+    _before_commit()
     commit = spark.createDataFrame([row], COMMIT_COLUMNS)
     commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
     return commit.first()
 
 
 def _batches(rows: DataFrame, done: list[Row]) -> DataFrame:
-    return rows.filter(F.col("batch").isin([row.batch for row in done]))
+    """Rows of committed attempts only. On partition columns the condition prunes folders of other attempts."""
+    committed = [f"{row.batch}/{row.attempt}" for row in done]
+    return rows.filter(F.concat_ws("/", "batch", "attempt").isin(committed)).drop("attempt")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -233,7 +250,7 @@ def load_index(spark: SparkSession, path: str) -> StoredIndex:
     lex = None
     if settings.use_bm25 and settings.n_texts == settings.n_docs:
         posted = spark.table(_postings_table(spark, path, settings.buckets))
-        terms, sizes = _statistics(spark, path, settings.batch)
+        terms, sizes = _statistics(spark, path, done[-1])
         counted = sizes.agg(F.sum("n_docs")).first()[0]
         if counted != settings.n_docs:
             raise ValueError(f"lexicon of {counted} documents does not match {settings.n_docs} at {path}")

@@ -292,3 +292,37 @@ def test_scratch_is_removed_on_request(spark, monkeypatch):
 
 def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def _lexicon_rows(spark, path):
+    index = load_index(spark, path)
+    lex = index.lexicon
+    posted = sorted(tuple(r) for r in lex.postings.select("doc_id", "term", "tf", "dl").collect())
+    terms = sorted((r.term, r.df, round(r.idf, 12)) for r in lex.terms.collect())
+    sizes = sorted((r.corpus_id, r.n_docs, r.n_words) for r in lex.corpora.collect())
+    docs = sorted(r.doc_id for r in index.documents.collect())
+    return index.settings.n_docs, posted, terms, sizes, docs
+
+
+@pytest.mark.parametrize("where", ["postings", "corpora", "term_weights", "_before_commit"])
+def test_a_batch_that_broke_off_counts_once_when_tried_again(spark, monkeypatch, where):
+    import quarry.sources.store as store
+
+    untroubled = fresh_path(spark, "t")
+    build_index(_docs(spark, range(6)), EMBEDDER, untroubled)
+    add_documents(_docs(spark, range(6, 11)), EMBEDDER, untroubled, batch="b")
+
+    path = fresh_path(spark, "t")
+    build_index(_docs(spark, range(6)), EMBEDDER, path)
+
+    def broken(*args, **kwargs):
+        raise RuntimeError("lost executor")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(store, where, broken)
+        with pytest.raises(RuntimeError, match="lost executor"):
+            add_documents(_docs(spark, range(6, 11)), EMBEDDER, path, batch="b")
+    assert load_index(spark, path).settings.n_docs == 6
+    assert add_documents(_docs(spark, range(6, 11)), EMBEDDER, path, batch="b") == 5
+    assert _lexicon_rows(spark, path) == _lexicon_rows(spark, untroubled)
+    assert add_documents(_docs(spark, range(6, 11)), EMBEDDER, path, batch="b") == 0
