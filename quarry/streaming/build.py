@@ -31,6 +31,7 @@ def index_stream(
     once: bool = True,
     search: SearchSettings = SearchSettings(),
     buckets: int | None = None,
+    max_errors: int | None = None,
 ) -> StreamingQuery:
     """Embed arriving ``docs(doc_id, combined_text)`` and add them to the index at ``path``, which the first rows begin.
 
@@ -38,19 +39,33 @@ def index_stream(
     is repeated after a failure is committed once, and other batches may be added in between. The number of
     buckets stays what the first rows ask for; give ``buckets`` if more will follow. ``once`` handles what is there and
     stops.
+
+    With ``max_errors``, rows that cannot be embedded stay beside the index (``failed_rows``), and the budget holds for the whole
+    stream, not per micro-batch: the failures of committed micro-batches are summed from their commit rows, and a micro-batch
+    that would go beyond what is left commits nothing and ends the stream with an error.
     """
 
     def add(rows: DataFrame, number: int) -> None:
         batch = f"stream-{number}"
-        if commits(rows.sparkSession, path):
-            add_documents(rows, embedder, path, batch)
+        done = commits(rows.sparkSession, path)
+        left = None if max_errors is None else max_errors - sum(row.n_failed for row in done)
+        if done:
+            add_documents(rows, embedder, path, batch, max_errors=left)
             return
         if rows.isEmpty():
             return
         fresh = with_corpus(rows).dropDuplicates(["corpus_id", "doc_id"])
         size = check_buckets(rows.sparkSession, buckets or choose_buckets(rows)) if search.use_bm25 else 0
         append_batch(
-            embedded(fresh, embedder), path, batch, embedder.name, embedder.dimension, search, size, unique=True
+            embedded(fresh, embedder, left),
+            path,
+            batch,
+            embedder.name,
+            embedder.dimension,
+            search,
+            size,
+            max_errors=left,
+            unique=True,
         )
 
     writer = docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

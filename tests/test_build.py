@@ -326,3 +326,22 @@ def test_a_batch_that_broke_off_counts_once_when_tried_again(spark, monkeypatch,
     assert add_documents(_docs(spark, range(6, 11)), EMBEDDER, path, batch="b") == 5
     assert _lexicon_rows(spark, path) == _lexicon_rows(spark, untroubled)
     assert add_documents(_docs(spark, range(6, 11)), EMBEDDER, path, batch="b") == 0
+
+
+def test_a_stream_keeps_one_error_budget(spark, tmp_path):
+    source, path = str(tmp_path / "in"), fresh_path(spark, "s")
+    schema = _docs(spark, []).schema
+
+    def run():
+        stream = read_stream(spark, source, schema, files_per_batch=1)
+        index_stream(stream, _Picky(16), path, f"{path}/checkpoint", buckets=2, max_errors=3).awaitTermination()
+
+    _docs(spark, range(10)).coalesce(1).write.parquet(source)
+    run()
+    assert load_index(spark, path).settings.n_docs == 8
+    assert {r.doc_id for r in failed_rows(spark, path).collect()} == {3, 7}
+    _docs(spark, range(20, 30)).coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="rows failed"):
+        run()
+    assert load_index(spark, path).settings.n_docs == 8
+    assert {r.doc_id for r in failed_rows(spark, path).collect()} == {3, 7}
