@@ -17,7 +17,7 @@ from quarry.functions.scores import last_entry_wins, rounded  # noqa: E402
 from quarry.functions.text import combined_text, preview, tokens  # noqa: E402
 from quarry.functions.vectors import l2_normalise  # noqa: E402
 from quarry.operators.clustered import LISTS, build_clustered, exact_search, probe_search
-from quarry.operators.embed import HashedWords, HashedWordsSql, StoredVectors  # noqa: E402
+from quarry.operators.embed import HashedWords, HashedWordsSql, StoredVectors, SubwordCapped  # noqa: E402
 from quarry.operators.evaluate import compare, judged, ranking_metrics  # noqa: E402
 from quarry.operators.lexical import document_scores, normalised_scores, postings  # noqa: E402
 from quarry.operators.reports import (  # noqa: E402
@@ -284,6 +284,14 @@ def hashed_embedding(spark, sf):
     return _buckets(build.embedded(_docs(spark, sf), EMBEDDER))
 
 
+def hashed_embedding_capped(spark, sf):
+    """``hashed_embedding`` of each text's first 64 sub-words of a public byte-level BPE tokenizer."""
+    import public_tokenizers
+
+    capped = SubwordCapped(EMBEDDER, public_tokenizers.path("byte_bpe_50k.json"), max_seq_length=64)
+    return _buckets(build.embedded(_docs(spark, sf), capped))
+
+
 def hashed_embedding_sql(spark, sf):
     return _buckets(build.embedded(_docs(spark, sf), HashedWordsSql(DIMENSION)))
 
@@ -514,6 +522,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "corpus_stats": corpus_stats,
         "term_idf": term_idf,
         "hashed_embedding": hashed_embedding,
+        "hashed_embedding_capped": hashed_embedding_capped,
         "hashed_embedding_sql": hashed_embedding_sql,
         "l2_normalise": l2_normalise_query,
         "vector_norms": vector_norms,

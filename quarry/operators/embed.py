@@ -150,6 +150,45 @@ class HashedWords(_RowWise):
         return encode
 
 
+class SubwordCapped(_RowWise):
+    """Another row-wise embedder whose texts are first cut after ``max_seq_length`` sub-words of a tokenizer file.
+
+    The cut follows the tokenizer's own offsets: a text of more tokens (special tokens not added) keeps what lies up to the
+    end of its ``max_seq_length``-th token; shorter texts stay whole. The file's content travels with the job, so its path
+    needs to exist on the driver only.
+    """
+
+    def __init__(self, inner: _RowWise, tokenizer_path: str, max_seq_length: int = ModelSettings().max_seq_length):
+        if max_seq_length < 1:
+            raise ValueError("max_seq_length must be at least 1")
+        self.inner = inner
+        self.name = f"{inner.name}-first-{max_seq_length}-subwords"
+        self.dimension = inner.dimension
+        self.rows_per_call = inner.rows_per_call
+        self.normalise = inner.normalise
+        self.max_seq_length = max_seq_length
+        with open(tokenizer_path, encoding="utf-8") as file:
+            self.tokenizer_json = file.read()
+
+    def cut(self) -> Callable[[Sequence[str]], list[str]]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(self.tokenizer_json)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        n = self.max_seq_length
+
+        def cut(texts: Sequence[str]) -> list[str]:
+            found = tokenizer.encode_batch(list(texts), add_special_tokens=False)
+            return [text if len(e.ids) <= n else text[: e.offsets[n - 1][1]] for text, e in zip(texts, found)]
+
+        return cut
+
+    def encoder(self) -> Callable[[Sequence[str]], np.ndarray]:
+        cut, inner = self.cut(), self.inner.encoder()
+        return lambda texts: inner(cut(texts))
+
+
 class HashedWordsSql:
     """The same vectors from SQL functions only; costs two shuffles, so it is for batches."""
 

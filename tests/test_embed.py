@@ -80,3 +80,26 @@ def test_stored_vectors_join_by_id(spark, docs):
     vectors = spark.createDataFrame([(1, [1.0, 0.0])], "doc_id long, embedding array<double>")
     got = StoredVectors(vectors, 2, missing="drop").embed(docs, "combined_text", "v").collect()
     assert [(r.doc_id, r.v) for r in got] == [(1, [1.0, 0.0])]
+
+
+def test_subword_cap_follows_the_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quarry.operators.embed import HashedWords, SubwordCapped
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["short text", "word " * 300, "ünïcödé " * 50 + "tail", "", "<|endoftext|> " * 80]
+    capped = SubwordCapped(HashedWords(16), path, max_seq_length=20)
+    plain = Tokenizer.from_file(path)
+    expected = []
+    for text in texts:
+        e = plain.encode(text, add_special_tokens=False)
+        expected.append(text if len(e.ids) <= 20 else text[: e.offsets[19][1]])
+    assert capped.cut()(texts) == expected
+    assert len(plain.encode(expected[1], add_special_tokens=False).ids) == 20
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: list(r.v) for r in capped.embed(df, "text", "v").collect()}
+    inner = HashedWords(16)
+    want = {r.doc_id: list(r.v) for r in inner.embed(spark.createDataFrame(list(enumerate(expected)), "doc_id long, text string"), "text", "v").collect()}
+    assert got == want
