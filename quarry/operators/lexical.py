@@ -216,21 +216,29 @@ class Scored:
     whole: int = 0
 
 
+_impacts: dict[tuple[int, int], tuple[Lexicon, DataFrame]] = {}
+
+
 def impacts(lex: Lexicon, blocks: int) -> DataFrame:
     """``(corpus_id, term, block, impact)``: the largest weight of a term in any document of a block, for ``qtf`` 1.
 
     A block is ``pmod(xxhash64(doc_id), blocks)``. This has at most one row per posting and, for frequent terms, one per
-    block: made once per lexicon and saved.
+    block: made once per lexicon (and number of blocks) in a session and saved.
     """
+    key = (id(lex), blocks)
+    if key in _impacts and _impacts[key][0] is lex:
+        return _impacts[key][1]
     known = lex.terms.join(F.broadcast(lex.corpora), "corpus_id").select("corpus_id", "term", "idf", "avgdl")
     weight = _weight(F.lit(1))
-    return materialise(
+    made = materialise(
         lex.postings.join(known, ["corpus_id", "term"])
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
         .groupBy("corpus_id", "term", "block")
         .agg(F.max(weight).alias("impact")),
         "impacts",
     )
+    _impacts[key] = (lex, made)
+    return made
 
 
 def _weight(qtf) -> F.Column:
