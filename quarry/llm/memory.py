@@ -18,6 +18,24 @@ def worker_state(name: str, make: Callable[[], T]) -> T:
     return _held[name]
 
 
+def release_worker_state() -> None:
+    """Let go of what this worker remembers for other operators, and give the freed heap back to the system.
+
+    Operators that hold no memory of their own call it when their task starts: a reused Python worker may still hold an
+    encoder's pieces from a stage before.
+    """
+    if _held:
+        _held.clear()
+        import ctypes
+        import gc
+
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:
+            pass
+
+
 class Memory:
     """Results by string in two generations: those used of late, and those used before that.
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import saved, small, text_of
 from quarry.llm.components import connected_components
+from quarry.llm.memory import release_worker_state
 
 TREES, PREFIX, DEEP = 16, 4, 4
 HASHES = TREES * (PREFIX + DEEP)
@@ -89,6 +90,7 @@ def signatures(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str =
     the signature in big-endian bytes, whose order is that of the values; the last two are null for an empty set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_state()
         for batch in batches:
             sizes, nodes, values = [], [], []
             for value in batch.column(2):

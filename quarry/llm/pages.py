@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import text_of
+from quarry.llm.memory import release_worker_state
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -323,6 +324,7 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_state()
         for batch in batches:
             texts = pa.array([main_text(page.as_py()) for page in batch.column(2)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["page_id", "url", "text"])

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import saved, text_of
+from quarry.llm.memory import release_worker_state
 
 WORDS, SHAPES, DIM, NONZERO = 1 << 14, 1 << 10, 16, 4
 REACH = 2
@@ -154,6 +155,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """The vectors of all ``WORDS`` rows, of length one, from every document."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_state()
         sums = np.zeros((WORDS, DIM), dtype=np.int64)
         for _, tokens in _blocks(batches, 0):
             neighbour_sums(*tokens, sums)
@@ -295,6 +297,7 @@ def _features(docs: DataFrame, vectors: np.ndarray, finish, schema: str) -> Data
     at = len(docs.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_state()
         for rows, tokens in _blocks(batches, at):
             last = finish(pooled(*tokens, shared.value))
             names = [*rows.schema.names[:at], "out"]
