@@ -3,7 +3,9 @@
 A text is cut where the tokenizers used here never form a token across: before ASCII white space, and between a run of plain
 letters and digits and a run of ASCII marks. So the ids of the pieces, put together, are the ids of the text, and a piece
 that was seen before is a lookup. Where a cut is not certain (other characters, an apostrophe that may begin a
-contraction), the piece goes on to the next white space; texts with white space outside ASCII go through the tokenizer whole.
+contraction), the piece goes on to the next white space; texts with white space outside ASCII, and texts that hold a string of
+the tokenizer's added tokens (such as ``<|endoftext|>``), go through the tokenizer whole, so that such strings get their own ids as
+in the plain ``encode(text, add_special_tokens=False)`` call.
 """
 
 from __future__ import annotations
@@ -40,14 +42,17 @@ REMEMBERED, LONGEST, BLOCK_CHARS = 400_000, 48, 1 << 21
 class PieceEncoder:
     """Gives ids as the bytes of little-endian unsigned 32-bit numbers.
 
-    Control strings of the tokenizer are ordinary text when they occur in a text.
+    Control strings of the tokenizer in a text get their own ids, as the plain call gives them; with ``special_as_text`` they
+    are ordinary text.
     """
 
-    def __init__(self, file_content: str):
+    def __init__(self, file_content: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file_content)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [token["content"] for token in json.loads(file_content).get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added))) if added and not special_as_text else None
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memory = Memory(REMEMBERED, LONGEST)
@@ -65,7 +70,7 @@ class PieceEncoder:
         return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
     def _pieces(self, text: str) -> list[str]:
-        if OTHER_WHITE.search(text):
+        if OTHER_WHITE.search(text) or (self.added is not None and self.added.search(text)):
             return [text]
         if self.lower:
             text = text.encode().lower().decode()
@@ -99,6 +104,7 @@ class PieceEncoder:
         yield from self.block(held)
 
 
-def encoder(file_content: str) -> PieceEncoder:
+def encoder(file_content: str, special_as_text: bool = False) -> PieceEncoder:
     """The encoder of this worker for a tokenizer file; it is kept from task to task."""
-    return worker_state(f"encoder {hash(file_content)}", lambda: PieceEncoder(file_content))
+    name = f"encoder {hash(file_content)} {special_as_text}"
+    return worker_state(name, lambda: PieceEncoder(file_content, special_as_text))
