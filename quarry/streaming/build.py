@@ -37,8 +37,8 @@ def index_stream(
 
     Each micro-batch is a batch of the index under its own name, through the same code as ``add_documents``, so a batch that
     is repeated after a failure is committed once, and other batches may be added in between. The number of
-    buckets stays what the first rows ask for; give ``buckets`` if more will follow. ``once`` handles what is there and
-    stops.
+    buckets is what the first rows ask for until they are full; give ``buckets`` if more will follow. ``once`` handles what is
+    there and stops.
 
     With ``max_errors``, rows that cannot be embedded stay beside the index (``failed_rows``), and the budget holds for the whole
     stream, not per micro-batch: the failures of committed micro-batches are summed from their commit rows, and a micro-batch
