@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -20,13 +21,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+# Rows of a few numbers or digests that a task writes at least.
+ROWS_PER_FILE = 100_000
+
+
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     Work that is used more than once is done once this way, and a lost executor costs at most its
-    own tasks, since the files do not go with it.
+    own tasks, since the files do not go with it. A narrow table known to have at most so many ``rows`` is written by no
+    more tasks than they fill, though by one for each core: a file of a few rows costs more than they do.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_FILE)))
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

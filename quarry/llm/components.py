@@ -3,12 +3,13 @@
 Two steps take turns: every node hands its larger neighbours over to its smallest one, then every node hands its smaller
 neighbours over to the smallest of them. Paths halve, so the rounds grow as the logarithm of the longest path, and
 what is left are stars. Each round is written to the shared folder, so lineage stays short. The smallest neighbour comes from
-an aggregate and a join, never from a window, so that no task holds the edges of a hub.
+an aggregate and a join, never from a window, so that no task holds the edges of a hub. No round has more edges than the one
+before, so it is written by as many tasks as those fill.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.llm.common import saved
@@ -31,11 +32,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("m").alias("a"), "b"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"), F.expr("sum(cast(xxhash64(a, b) as decimal(20, 0)))").alias("h")
-    ).first()
-    return row["n"], row["h"]
+def _round(edges: DataFrame, most: int | None = None) -> tuple[DataFrame, tuple]:
+    """``edges``, of which there are at most ``most``, saved, with their number and a sum of their hashes."""
+    seen = Observation()
+    state = [F.count("*").alias("n"), F.expr("sum(cast(xxhash64(a, b) as decimal(20, 0)))").alias("h")]
+    kept = saved(edges.observe(seen, *state), "edges", most)
+    return kept, (seen.get.get("n", 0), seen.get.get("h"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -44,11 +46,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges do no harm; edges with a null end are left out. No edges, no rows.
     """
     links = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = saved(links.distinct(), "edges")
-    state = _state(links)
+    links, state = _round(links.distinct())
     while True:
-        links = saved(_small_star(_large_star(links).distinct()).distinct(), "edges")
-        after = _state(links)
+        links, after = _round(_small_star(_large_star(links)).distinct(), state[0])
         if after == state:
             break
         state = after

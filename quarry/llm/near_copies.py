@@ -453,10 +453,11 @@ def confirmed_links(
     block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """``a, b``: exact links that connect what is linked within ``groups(node, root)``."""
+    n_nodes = nodes.count()
     grouped = saved(groups.join(nodes, "node").select("root", "node", "first_id", "h", "n_shingles", "values"), "groups")
     sizes = grouped.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     fits = (F.col("n") <= block_nodes) & (F.col("s") <= block_shingles)
-    sized = grouped.join(saved(sizes.select("root", fits.alias("fits")), "sizes"), "root")
+    sized = grouped.join(saved(sizes.select("root", fits.alias("fits")), "sizes", n_nodes), "root")
     blocks = sized.filter("fits").select(F.col("root").alias("block"), "node")
     large = saved(sized.filter(~F.col("fits")).select(*grouped.columns), "large")
     cut = not large.isEmpty()
@@ -497,9 +498,9 @@ def confirmed_links(
     found = saved(found, "links")
     classes = connected_components(found).withColumnRenamed("root", "class")
     large = large.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).drop("values")
-    large = saved(large, "classed")
+    large = saved(large, "classed", n_nodes)
     several = large.groupBy("root").agg(F.min("class").alias("c"), F.max("class").alias("d")).filter("c <> d").select("root")
-    apart = saved(large.join(several, "root", "left_semi"), "apart")
+    apart = saved(large.join(several, "root", "left_semi"), "apart", n_nodes)
     if apart.isEmpty():
         return found
     return found.union(missed_links(docs, apart, words, percent, doc_id, text, block_nodes, block_shingles))
@@ -524,15 +525,17 @@ def _classified(
     )
     groups = connected_components(candidate_links(nodes, region))
     links = confirmed_links(docs, nodes, groups, words, percent, doc_id, text, block_nodes, block_shingles)
-    linked = saved(connected_components(links), "components")
+    n_nodes = nodes.count()
+    linked = saved(connected_components(links), "components", n_nodes)
     classes = saved(
         nodes.select("node", "first_id")
         .join(linked, "node", "left")
         .select("node", "first_id", F.coalesce("root", "node").alias("root")),
         "classes",
+        n_nodes,
     )
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = saved(classes.join(least, "root").select("node", "root", "component_id"), "named")
+    named = saved(classes.join(least, "root").select("node", "root", "component_id"), "named", n_nodes)
     return signed.select("doc_id", "h", "n_shingles", "node").join(named, "node", "left").select(
         "doc_id",
         "h",
@@ -580,10 +583,11 @@ def drop_near_copies(
     rows = _classified(docs, words, percent, doc_id, text, REGION, BLOCK_NODES, BLOCK_SHINGLES)
     # Null ids last; equal ids by hash of the text.
     place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "h")
-    filled = saved(rows.filter("root is not null").select("root", place.alias("place")), "placed")
+    n_rows = docs.count()
+    filled = saved(rows.filter("root is not null").select("root", place.alias("place")), "placed", n_rows)
     chosen = filled.groupBy("root").agg(F.min("place").alias("first"))
     going = filled.join(chosen, "root").filter("place <> first").select("place").distinct()
-    going = saved(going.select(F.col("place.doc_id").alias("__near_id"), F.col("place.h").alias("__near_hash")), "going")
+    going = saved(going.select(F.col("place.doc_id").alias("__near_id"), F.col("place.h").alias("__near_hash")), "going", n_rows)
     tagged = docs.withColumn("__near_text", F.xxhash64(text_of(text)))
 
     def met(other: DataFrame):
@@ -596,6 +600,7 @@ def drop_near_copies(
             F.col("place.doc_id").alias("__near_id"), F.col("place.h").alias("__near_hash")
         ),
         "repeated",
+        n_rows,
     )
     if repeated.isEmpty():
         return left.select(*columns)
